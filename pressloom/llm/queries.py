@@ -6,8 +6,10 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pressloom.llm import near_duplicates as nd
+from pressloom.llm import shared_spans as ss
 from pressloom.session import table
 
 #: TESTDATA.md sets one half for the reprints of problem 1.
@@ -22,6 +24,16 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return nd.groups_of(table(spark, d, "classify_cluster"), "id", ("title", "body_excerpt"), REPRINT)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return ss.spans_of(table(spark, d, "classify_cluster"), "id", "body_excerpt")
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each excerpt is shared, beside what the sources view says of it."""
+    told = table(spark, d, "ask_sources").groupBy(F.col("source_id").alias("id")).agg(F.max("is_reprint").alias("is_reprint"))
+    return ss.shares_of(table(spark, d, "classify_cluster"), "id", "body_excerpt").join(told, "id", "left")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
