@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.llm import near_duplicates as nd
+from pressloom.llm import percentiles as pct
 from pressloom.llm import shared_spans as ss
 from pressloom.session import table
 
@@ -34,9 +35,38 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return ss.shares_of(table(spark, d, "classify_cluster"), "id", "body_excerpt").join(told, "id", "left")
 
 
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    calls = table(spark, d, "maemgaba_ai_call_log").filter("success = 1")
+    return calls.select("id", "operation", "model", "latency_ms", F.to_date(F.timestamp_seconds("created")).alias("day"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pct.wide_groups(_calls(spark, d), ["operation", "model"], "latency_ms", "id", 0.5, 0.95, 5)
+
+
+def p3_daily(spark: SparkSession, d: str) -> DataFrame:
+    keys, spec = ["operation", "model", "day"], pct.Spec(fan=4)
+    return pct.answers(pct.sketch(_calls(spark, d), keys, "latency_ms", spec, "id"), keys, (0.5, 0.9, 0.95, 0.99), spec)
+
+
+def p3_models(spark: SparkSession, d: str) -> DataFrame:
+    """The daily sketches added up over days and operations."""
+    spec = pct.Spec(fan=4)
+    daily = pct.sketch(_calls(spark, d), ["operation", "model", "day"], "latency_ms", spec, "id")
+    return pct.answers(pct.merge(daily, ["model"], spec), ["model"], (0.5, 0.9, 0.95, 0.99), spec)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": """
+            WITH c AS (SELECT DISTINCT id, operation, model, latency_ms FROM maemgaba_ai_call_log WHERE success = 1 AND latency_ms IS NOT NULL),
+            r AS (SELECT operation, model, latency_ms, row_number() OVER (PARTITION BY operation, model ORDER BY latency_ms) AS i,
+                         count(*) OVER (PARTITION BY operation, model) AS n FROM c)
+            SELECT operation, model FROM r GROUP BY operation, model
+            HAVING min(latency_ms) FILTER (WHERE 100 * i >= 95 * n) >= 5 * min(latency_ms) FILTER (WHERE 100 * i >= 50 * n)
+        """,
+    }
