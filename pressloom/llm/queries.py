@@ -8,10 +8,12 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pressloom.llm import mixing, packing
 from pressloom.llm import near_duplicates as nd
 from pressloom.llm import percentiles as pct
 from pressloom.llm import shared_spans as ss
-from pressloom.session import table
+from pressloom.llm.sizes import tokens
+from pressloom.session import settle, table
 
 #: TESTDATA.md sets one half for the reprints of problem 1.
 REPRINT = nd.Spec(k=5, least=Fraction(1, 2), min_words=25)
@@ -56,6 +58,33 @@ def p3_models(spark: SparkSession, d: str) -> DataFrame:
     return pct.answers(pct.merge(daily, ["model"], spec), ["model"], (0.5, 0.9, 0.95, 0.99), spec)
 
 
+def _packs(spark: SparkSession, d: str) -> dict[str, int]:
+    """The container sizes: a list kept by hand, of a few rows."""
+    return {r["pack_name"]: int(r["capacity_tokens"]) for r in table(spark, d, "pack_sizes").filter("capacity_tokens > 0").orderBy("pack_name").collect()}
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return settle(table(spark, d, "documents").select("doc_id", "source", tokens("n_tokens", "text").alias("n")), "sizes")
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sizes(spark, d), _packs(spark, d))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    packs = _packs(spark, d)
+    return packing.fill(packing.pack(_sizes(spark, d), packs), packs)
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    sizes, targets = _sizes(spark, d), table(spark, d, "mix_targets")
+    return mixing.report(mixing.mix(sizes, targets), sizes, targets)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
