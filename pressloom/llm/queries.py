@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import encoding, mixing, packing
+from pressloom.llm import boilerplate, encoding, mixing, packing
 from pressloom.llm import near_duplicates as nd
 from pressloom.llm import percentiles as pct
 from pressloom.llm import shared_spans as ss
@@ -66,6 +66,14 @@ def p4_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.damaged(table(spark, d, "classify_cluster"), "id", ("title", "body_excerpt"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_lines(table(spark, d, "ingestion_engine"))
+
+
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_text(table(spark, d, "ingestion_engine"))
+
+
 def _packs(spark: SparkSession, d: str) -> dict[str, int]:
     """The container sizes: a list kept by hand, of a few rows."""
     return {r["pack_name"]: int(r["capacity_tokens"]) for r in table(spark, d, "pack_sizes").filter("capacity_tokens > 0").orderBy("pack_name").collect()}
