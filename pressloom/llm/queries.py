@@ -12,6 +12,7 @@ from pressloom.llm import boilerplate, encoding, mixing, packing
 from pressloom.llm import near_duplicates as nd
 from pressloom.llm import percentiles as pct
 from pressloom.llm import shared_spans as ss
+from pressloom.llm import text_quality as tq
 from pressloom.llm.sizes import tokens
 from pressloom.session import settle, table
 
@@ -101,6 +102,14 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(mixing.mix(sizes, targets), sizes, targets)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return tq.no_prose(p8_stats(spark, d))
+
+
+def p8_stats(spark: SparkSession, d: str) -> DataFrame:
+    return tq.quality(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
