@@ -29,7 +29,8 @@ def _flag(c: Column) -> Column:
 
 def once(df: DataFrame, key: str) -> DataFrame:
     """One row per key: repeated rows are full copies."""
-    return df.dropDuplicates([key])
+    # new names for the columns: a semi join pushed below the deduplication would otherwise bind the old ones (Spark 4.1)
+    return df.dropDuplicates([key]).select(*[F.col(c).alias(c) for c in df.columns])
 
 
 def sources(cards: DataFrame, buckets: Sequence[Bucket] = FIVE, zone: str = ZONE) -> DataFrame:
