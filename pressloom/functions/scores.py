@@ -25,7 +25,7 @@ def clamped(value: Column) -> Column:
 
 def confidence(value: Column) -> Column:
     d = value.cast("string").try_cast("double")
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), d))
+    return F.when(d.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)))
 
 
 def to_legacy(score: Column) -> Column:

@@ -90,7 +90,7 @@ def outlet_terms(name: str, feed_host: str | None = None, aliases: Sequence[str]
 def redact_by(text: Column, name: Column, mark: str = "[outlet]") -> Column:
     """The same with the outlet's name taken from a column of the row."""
     full, short = F.trim(_s(name)), F.regexp_replace(F.trim(_s(name)), r"(?i)^the\s+", "")
-    safe = lambda c: F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|])", r"\\\\$1")
+    safe = lambda c: F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), safe(full), F.lit("|"), safe(short), F.lit(r")(?![\p{L}\p{N}])"))
     return F.when(F.length(short) >= 3, F.regexp_replace(_s(text), pattern, F.lit(mark))).otherwise(_s(text))
 
