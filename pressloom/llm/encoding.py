@@ -62,24 +62,32 @@ def _plain(text: str) -> bool:
     return all(c in LATIN or c in SIGNS or _other(c) for c in text)
 
 
+Spans = tuple[tuple[int, int, str], ...]
+
+
 @lru_cache(1 << 16)
-def _undo(run: str) -> tuple[tuple[int, int, str], ...]:
-    """(start, end, original) of the misread spans of one run of non-ASCII characters, by the page that explains most of it."""
-    best: tuple[int, tuple] = (0, ())
+def _options(run: str) -> dict[str, Spans]:
+    """Per page the (start, end, original) of the spans of a run of non-ASCII characters that may be misread."""
+    out = {}
     for page in PAGES:
         table = _to_bytes(page)
         as_bytes = "".join(table.get(ord(c), "Ā") for c in run)
         spans = []
         for m in _SPANS.finditer(as_bytes):
             got = m.group().encode("latin-1").decode("utf-8")
-            for s, e, x in reversed(_undo(got) if len(got) > 1 else ()):
+            inner = _options(got) if len(got) > 1 else {}
+            # what went wrong twice is undone twice
+            for s, e, x in reversed(max(inner.values(), key=_covered, default=())):
                 got = got[:s] + x + got[e:]
             if got and _plain(got):
                 spans.append((m.start(), m.end(), got))
-        won = sum(e - s for s, e, _ in spans)
-        if won > best[0]:
-            best = (won, tuple(spans))
-    return best[1]
+        if spans:
+            out[page] = tuple(spans)
+    return out
+
+
+def _covered(spans: Spans) -> int:
+    return sum(e - s for s, e, _ in spans)
 
 
 def _misread(run: str, s: int, e: int, got: str, before: str, after: str) -> bool:
@@ -97,12 +105,32 @@ def _misread(run: str, s: int, e: int, got: str, before: str, after: str) -> boo
 
 
 def undo(text: str) -> tuple[str, bool]:
-    """The text with its misread multibyte spans decoded, and whether it had any."""
-    out, at = [], 0
+    """The text with its misread multibyte spans decoded, and whether it had any.
+
+    The pages are weighed over the whole text: between pages that explain a run equally well the one that explains more of the text
+    decides, and once it has a sure case, its doubtful ones count too.
+    """
+    runs, votes = [], dict.fromkeys(PAGES, 0)
     for m in _RUN.finditer(text):
-        run, base = m.group(), m.start()
-        for s, e, got in _undo(run):
-            if _misread(run, s, e, got, text[base + s - 1 : base + s], text[base + e : base + e + 1]):
+        if options := _options(m.group()):
+            base, run = m.start(), m.group()
+            runs.append((base, run, options))
+            for page, spans in options.items():
+                for s, e, got in spans:
+                    before = text[base + s - 1 : base + s]
+                    if _misread(run, s, e, got, before, text[base + e : base + e + 1]):
+                        # a capital after a small letter speaks against a page
+                        word = before + got
+                        votes[page] += 0.5 if any(x.islower() and y.isupper() for x, y in zip(word, word[1:])) else e - s
+    rank = {p: (votes[p], -i) for i, p in enumerate(PAGES)}
+    top = max(PAGES, key=rank.__getitem__)
+    if not votes[top]:
+        return text, False
+    out, at = [], 0
+    for base, run, options in runs:
+        page = max(options, key=lambda p: (_covered(options[p]), rank[p]))
+        for s, e, got in options[page]:
+            if page == top or _misread(run, s, e, got, text[base + s - 1 : base + s], text[base + e : base + e + 1]):
                 out += [text[at : base + s], got]
                 at = base + e
     return ("".join(out) + text[at:], True) if out else (text, False)

@@ -28,6 +28,7 @@ def offset(seed: int, source: str = "source"):
 
 def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
     """One row per listed source: docs, tokens, target_share, wanted_share (among sources with tokens), max_repeats, copies (e)."""
+    sizes = sizes.select("doc_id", "source", "n")
     t = targets.filter("source IS NOT NULL").groupBy("source").agg(F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.min(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("max_repeats"))
     s = sizes.filter("n > 0").groupBy("source").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
     both = t.join(s, "source", "left").na.fill(0, ["docs", "tokens"])
@@ -45,6 +46,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> Data
 
 def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 11, salts: int = 64) -> DataFrame:
     """sizes: doc_id, source, n. Rows doc_id, source, n, uses."""
+    sizes = sizes.select("doc_id", "source", "n")
     p = plan(sizes, targets, total).filter("copies > 0").select(F.col("source").alias("__src"), "copies")
     drawn = sizes.filter("n > 0").join(p, F.col("source") == F.col("__src")).drop("__src").withColumn("one", F.lit(1))
     drawn = running(drawn, ["source"], "n", "doc_id", "one", "rank", salts)

@@ -40,7 +40,7 @@ class Spec:
     seed: int = 7
 
 
-STATE = ["n", "worst", "var", "low", "high", "sizes", "held"]
+STATE = ["sk_n", "sk_worst", "sk_var", "sk_low", "sk_high", "sk_sizes", "sk_held"]
 
 
 class Sketch:
@@ -127,7 +127,7 @@ def _emit(rows: list[tuple], schema: pa.Schema, keys: int) -> pa.RecordBatch:
     st = [r[1] for r in rows]
     cols += [pa.array([s[j] for s in st], schema.field(keys + j).type) for j in range(6)]
     off = np.r_[0, np.cumsum([len(s[6]) for s in st])].astype(np.int32)
-    vt = schema.field("held").type.value_type
+    vt = schema.field("sk_held").type.value_type
     cols.append(pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([s[6] for s in st])).cast(vt)))
     return pa.RecordBatch.from_arrays(cols, schema=schema)
 
@@ -154,9 +154,9 @@ def _stream(spec: Spec, keys: int, schema: T.StructType, merging: bool):
             if merging:
                 part = {c: batch.column(keys + j) for j, c in enumerate(STATE)}
                 num = {c: part[c].to_numpy(zero_copy_only=False) for c in STATE[:5]}
-                lens = part["sizes"].to_pylist()
-                flat = part["held"].flatten().to_numpy(zero_copy_only=False)
-                off = np.r_[0, np.cumsum(part["held"].value_lengths().to_numpy(zero_copy_only=False))]
+                lens = part["sk_sizes"].to_pylist()
+                flat = part["sk_held"].flatten().to_numpy(zero_copy_only=False)
+                off = np.r_[0, np.cumsum(part["sk_held"].value_lengths().to_numpy(zero_copy_only=False))]
             else:
                 values = batch.column(keys).to_numpy(zero_copy_only=False)
             heads = [tuple(c) for c in zip(*[batch.column(i).take(pa.array(cut)).to_pylist() for i in range(keys)])] if keys else [()]
@@ -169,7 +169,7 @@ def _stream(spec: Spec, keys: int, schema: T.StructType, merging: bool):
                 if merging:
                     for i in range(s, e):
                         lev = np.split(flat[off[i] : off[i + 1]], np.cumsum(lens[i])[:-1])
-                        open_.merge(int(num["n"][i]), int(num["worst"][i]), float(num["var"][i]), num["low"][i], num["high"][i], lev)
+                        open_.merge(*(int(num[c][i]) for c in STATE[:2]), float(num["sk_var"][i]), num["sk_low"][i], num["sk_high"][i], lev)
                 else:
                     open_.add(values[s:e])
             if held > 1_000_000 or len(done) > 5000:
@@ -199,7 +199,7 @@ def sketch(df: DataFrame, keys: Sequence[str], value: str, spec: Spec = Spec(),
     if row_id:
         base = base.distinct()
     rows = base.sortWithinPartitions(*keys, "__s").select(*keys, "__s", "__v")
-    state = [("n", T.LongType()), ("worst", T.LongType()), ("var", T.DoubleType()), ("low", vt), ("high", vt), ("sizes", T.ArrayType(T.IntegerType())), ("held", T.ArrayType(vt))]
+    state = list(zip(STATE, (T.LongType(), T.LongType(), T.DoubleType(), vt, vt, T.ArrayType(T.IntegerType()), T.ArrayType(vt))))
     keyed = [T.StructField(k, df.schema[k].dataType) for k in keys]
     out = T.StructType([*keyed, T.StructField("__s", T.IntegerType()), *[T.StructField(a, b) for a, b in state]])
     parts = rows.mapInArrow(_stream(spec, len(keys) + 1, out, False), out)
@@ -212,12 +212,13 @@ def merge(sketches: DataFrame, keys: Sequence[str], spec: Spec = Spec()) -> Data
     src = sketches.select(*keys, *STATE)
     src = src.repartition(*keys) if keys else src.coalesce(1)
     # by size first: the merged sketch doesn't depend on the order in which parts arrive
-    return src.sortWithinPartitions(*keys, F.desc("n"), "low", "high", F.hash("held")).mapInArrow(_stream(spec, len(keys), out, True), out)
+    return src.sortWithinPartitions(*keys, F.desc("sk_n"), "sk_low", "sk_high", F.hash("sk_held")).mapInArrow(_stream(spec, len(keys), out, True), out)
 
 
 def answers(sketches: DataFrame, keys: Sequence[str], qs: Sequence[float], spec: Spec = Spec()) -> DataFrame:
-    """keys, n, rank_error (share of n) and, per q, pQ, pQ_least and pQ_greatest."""
-    vt = sketches.schema["low"].dataType
+    """keys, n (n_ if a key has that name), rank_error (share of n) and, per q, pQ, pQ_least and pQ_greatest."""
+    count = "n_" if "n" in keys else "n"
+    vt = sketches.schema["sk_low"].dataType
     names = [f"p{100 * q:g}".replace(".", "_") for q in qs]
     cols = [c for x in names for c in (x, f"{x}_least", f"{x}_greatest")]
     res = T.StructType([T.StructField("rank_error", T.DoubleType()), *[T.StructField(c, vt) for c in cols]])
@@ -232,9 +233,9 @@ def answers(sketches: DataFrame, keys: Sequence[str], qs: Sequence[float], spec:
                 got = quantiles(sizes[i], held[i].values.to_numpy(zero_copy_only=False), int(n[i]), low[i], high[i], err, qs)
                 rows.append((err / n[i], *[x for g in got for x in g]))
             cols_ = [b.column(i) for i in range(k + 1)] + [pa.array([r[j] for r in rows]) for j in range(len(res))]
-            yield pa.RecordBatch.from_arrays(cols_, [*keys, "n", *res.names])
+            yield pa.RecordBatch.from_arrays(cols_, [*keys, count, *res.names])
 
-    out = T.StructType([*[sketches.schema[k] for k in keys], T.StructField("n", T.LongType()), *res.fields])
+    out = T.StructType([*[sketches.schema[k] for k in keys], T.StructField(count, T.LongType()), *res.fields])
     return sketches.select(*keys, *STATE).mapInArrow(run, out)
 
 
