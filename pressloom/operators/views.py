@@ -6,7 +6,7 @@ sums skip the nulls. Times are local to `zone`.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +19,9 @@ VIEWS = ("ask_sources", "ask_stories", "ask_outlets", "ask_daily")
 
 
 def local_time(epoch: Column, zone: str = ZONE) -> Column:
-    """Local date and time of Unix seconds, without a zone."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), F.timestamp_seconds(epoch).cast("timestamp_ntz"))
+    """Local date and time of Unix seconds, without a zone; the session's own zone plays no part."""
+    utc = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=epoch.cast("decimal(18,6)"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
 def _flag(c: Column) -> Column:
@@ -91,14 +92,37 @@ def build(cards: DataFrame, stories_: DataFrame, feeds: DataFrame, buckets: Sequ
     return {"ask_sources": src, "ask_stories": st, "ask_outlets": outlets(feeds, buckets), "ask_daily": daily(st, src, buckets)}
 
 
-def from_dir(spark: SparkSession, d: str, **kw) -> dict[str, DataFrame]:
-    """All four over the tables of a folder. Each is built over reads of its own: frames that share columns can't meet in a correlated
-    subquery."""
-    fresh = lambda: build(table(spark, d, "cards"), table(spark, d, "stories"), table(spark, d, "feeds"), **kw)
-    return {name: fresh()[name] for name in VIEWS}
+class Folder(Mapping):
+    """The views over the tables of a folder, each made when it is asked for and over reads of its own: frames that share columns can't
+    meet in a correlated subquery."""
 
+    def __init__(self, spark: SparkSession, d: str, buckets: Sequence[Bucket] = FIVE, zone: str = ZONE) -> None:
+        self.read = lambda name: table(spark, d, name)
+        self.buckets, self.zone = buckets, zone
 
-def create(spark: SparkSession, frames: dict[str, DataFrame]) -> None:
+    def __getitem__(self, name: str) -> DataFrame:
+        if name == "ask_outlets":
+            return outlets(self.read("feeds"), self.buckets)
+        if name not in VIEWS:
+            raise KeyError(name)
+        src = sources(self.read("cards"), self.buckets, self.zone)
+        if name == "ask_sources":
+            return src
+        st = stories(self.read("stories"), src, self.buckets, self.zone)
+        return st if name == "ask_stories" else daily(st, src, self.buckets)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(VIEWS)
+
+    def __len__(self) -> int:
+        return len(VIEWS)
+
+
+def from_dir(spark: SparkSession, d: str, **kw) -> Folder:
+    return Folder(spark, d, **kw)
+
+
+def create(spark: SparkSession, frames: Mapping[str, DataFrame]) -> None:
     """As temporary views of the session, in order."""
     for name in VIEWS:
         frames[name].createOrReplaceTempView(name)

@@ -64,7 +64,7 @@ def ask(spark: SparkSession, frames: Mapping[str, DataFrame], sql: str, buckets:
     bad = {r for r in relations(spark, text)} - {v for v in views.VIEWS} - _ctes(text)
     if bad:
         raise Rejected("table_not_allowed", ", ".join(sorted(bad)))
-    return spark.sql(_bind(text, frames), **{n: f for n, f in frames.items() if re.search(rf"\b{n}\b", text, re.I)})
+    return spark.sql(_bind(text, frames), **{n: frames[n] for n in frames if re.search(rf"\b{n}\b", text, re.I)})
 
 
 def _ctes(sql: str) -> set[str]:
