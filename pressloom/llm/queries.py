@@ -114,8 +114,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+#: Words, sets of five-word sequences, and pairs by the sequences they share.
+_P1 = """
+    WITH t AS (SELECT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body_excerpt, '')), '[\\p{L}\\p{N}]+') AS w FROM (SELECT DISTINCT id, title, body_excerpt FROM classify_cluster)),
+    s AS (SELECT id, list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS sh FROM t WHERE len(w) >= 25),
+    e AS (SELECT id, len(sh) AS n, unnest(sh) AS g FROM s),
+    p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+    SELECT id_a, id_b FROM p WHERE 2 * o >= na + nb - o
+"""
+
+#: Runs of 20 words held by two ids, the words they cover, and the unbroken stretches of these.
+_P2 = """t AS (SELECT id, list_filter(string_split_regex(coalesce(body_excerpt, ''), '[ \n]'), lambda x: x <> '') AS w FROM (SELECT DISTINCT id, body_excerpt FROM classify_cluster)),
+    r AS (SELECT id, i - 1 AS pos, array_to_string(w[i:i+19], ' ') AS run FROM (SELECT id, w, unnest(range(1, len(w) - 18)) AS i FROM t)),
+    h AS (SELECT id, pos FROM r WHERE run IN (SELECT run FROM r GROUP BY run HAVING count(DISTINCT id) > 1)),
+    m AS (SELECT *, CASE WHEN pos <= lag(pos) OVER (PARTITION BY id ORDER BY pos) + 20 THEN 0 ELSE 1 END AS head FROM h),
+    k AS (SELECT *, sum(head) OVER (PARTITION BY id ORDER BY pos) AS isle FROM m),
+    f AS (SELECT id, min(pos)::INT AS start_word, (max(pos) + 20)::INT AS end_word FROM k GROUP BY id, isle)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": _P1,
+        "p2_found": f"WITH {_P2} SELECT * FROM f",
+        "p2_shares": f"""WITH {_P2}, g AS (SELECT id, count(*) AS spans, sum(end_word - start_word)::BIGINT AS shared_words FROM f GROUP BY id), q AS (SELECT source_id, max(is_reprint) AS is_reprint FROM ask_sources GROUP BY 1)
+            SELECT t.id, len(t.w)::INT AS words, coalesce(spans, 0)::BIGINT AS spans, coalesce(shared_words, 0)::BIGINT AS shared_words, CASE WHEN len(t.w) > 0 THEN coalesce(shared_words, 0) / len(t.w) ELSE 0.0 END AS shared_share, q.is_reprint
+            FROM t LEFT JOIN g USING (id) LEFT JOIN q ON q.source_id = t.id""",
         "p3_found": """
             WITH c AS (SELECT DISTINCT id, operation, model, latency_ms FROM maemgaba_ai_call_log WHERE success = 1 AND latency_ms IS NOT NULL),
             r AS (SELECT operation, model, latency_ms, row_number() OVER (PARTITION BY operation, model ORDER BY latency_ms) AS i,
