@@ -60,7 +60,7 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(*frames_or_none) -> None:
+def release() -> None:
     """Remove every table that settle() wrote so far; call it only once their readers are done."""
     while _made:
         spark, path = _made.pop()
