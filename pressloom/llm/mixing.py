@@ -82,7 +82,8 @@ def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> Data
 def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 11, salts: int = 64) -> DataFrame:
     """sizes: doc_id, source, n. Rows doc_id, source, n, uses."""
     sizes = sizes.select("doc_id", "source", "n")
-    p = plan(sizes, targets, total).filter("copies > 0").select(F.col("source").alias("__src"), "copies", "longest")
+    # one row per listed source, used three times
+    p = settle(plan(sizes, targets, total), "plan").filter("copies > 0").select(F.col("source").alias("__src"), "copies", "longest")
     fits = "n > 0 AND (longest IS NULL OR n <= longest)"
     drawn = sizes.join(p, F.col("source") == F.col("__src")).filter(fits).drop("__src").withColumn("one", F.lit(1))
     drawn = settle(running(drawn, ["source"], "n", "doc_id", "one", "rank", salts).select("doc_id", "source", "n", "rank", "copies"), "drawn")
