@@ -143,13 +143,13 @@ _LOW = "\xdf-\xf6\xf8-\xffœšž"
 _SIGN = "±÷¸˙˚˘ˆ˜¯‰„‚‡†¬√∞≤≥∂∑∏∫≈∆◊ﬁﬂı¿¡‹›§¨´≠²³¼½¾×¢£¥¦µ─-▟⌐⌠⌡ⁿ∩≡∙·"
 _ODD = re.compile(
     f"[{_L}][{_OTHER}]|[{_OTHER}][{_L}]"  # two alphabets
-    f"|[{_L}](?![lL]·[lL])[{_SIGN}][{_L}]|[A-Za-z]°[a-z]|[─-▟⌐ⁿ√][{_L}]|[{_L}][─-▟⌐ⁿ√˙]"  # a sign inside a word
+    f"|[{_L}](?![lL]·[lL])[{_SIGN}]{{1,3}}[{_L}]|[A-Za-z]°[a-z]|[─-▟⌐ⁿ√][{_L}]|[{_L}][─-▟⌐ⁿ√˙≤≥≈∞]|[a-z]rß(?![{_L}])"  # a sign inside a word
     f"|[a-z][{_UP}]"  # a capital after a small letter
     f"|(?<![{_L}])[{_LOW}{_UP}][A-Z][a-z]"  # a letter in the place of an opening quotation mark
     f"|(?<![{_L}])[{_LOW}{_UP}{_OTHER}][0-9]"  # a letter in the place of a currency sign
     "|(?<= )[‡‰„‚˙˚](?= )"
     f"|[,.!?][öîôì](?= |$)|(?<![{_L}])[ôì][a-z][^ôì\"]*[a-z][öî](?![{_L}])"  # letters in the place of quotation marks
-    "|(?<= the )(?:[^ ]+ )*?[A-Z][a-z]{4,}ís(?= [a-z])|[A-Z][a-z]{4,}ís(?= [a-z].* the )"  # and of an apostrophe
+    "|(?<![\\w])[A-Z][a-z]{5,}ís(?= [a-z])"  # and of an apostrophe, in English only
 )
 #: What is left where bytes were lost: the replacement character, or question marks for single bytes.
 _LOSSY = re.compile(
@@ -164,11 +164,22 @@ _TOKEN = re.compile("[^ \n]+")
 _WORD = re.compile(f"[{_L}{_OTHER}{_SIGN}\x80-￿]+")
 
 
+_ENGLISH = re.compile(r"\b(?:the|and|to|under|over|said|was|for)\b")
+
+
+def _odd(text: str) -> list[tuple[int, int]]:
+    """Where the text has what no language writes."""
+    found = [m.span() for m in _ODD.finditer(text)]
+    return [(a, e) for a, e in found if text[e - 2 : e] != "ís" or _ENGLISH.search(text)]
+
+
 def _single(text: str) -> str | None:
     """The text read as Western European again, where one page makes all its odd places ordinary."""
-    odd = [m for m in _ODD.finditer(text)]
+    odd = _odd(text)
     if not odd:
         return None
+    # the words around the odd places
+    near = {t.start(): any(t.start() < e and a < t.end() for a, e in odd) for t in _TOKEN.finditer(text)}
     best = None
     for page in SINGLE:
         table = _to_bytes(page)
@@ -181,8 +192,8 @@ def _single(text: str) -> str | None:
                 return w
 
         # the whole text may be damaged, or only the words around the odd places
-        for got in (_WORD.sub(back, text), _TOKEN.sub(lambda m: _WORD.sub(back, m.group()) if _ODD.search(m.group()) else m.group(), text)):
-            left = sum(1 for _ in _ODD.finditer(got))
+        for got in (_WORD.sub(back, text), _TOKEN.sub(lambda m: _WORD.sub(back, m.group()) if near[m.start()] else m.group(), text)):
+            left = len(_odd(got))
             strange = sum(1 for c in got if c > "\x7f" and c not in LATIN and c not in SIGNS and not _other(c))
             key = (left, strange, -sum(map(got.count, QUOTES)))
             if left < len(odd) and (best is None or key < best[0]):
