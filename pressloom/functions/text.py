@@ -14,7 +14,7 @@ ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#039;": "'"
 #: Words in an initialism that are skipped (fixed values).
 SMALL = ("the", "of", "and", "a", "an", "for", "de", "la", "el")
 
-SPACE = r"[\s ]+"
+SPACE = "[\\s\u00a0]+"
 
 
 def _s(text: Column) -> Column:

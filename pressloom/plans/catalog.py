@@ -343,10 +343,17 @@ def _(spark, d):
     return w.select("doc_id", F.size("w").alias("words"), F.size(F.array_distinct("w")).alias("different"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
-@query("text_plain", "SELECT item_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(body, ''), '</?(?:p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|br|tr|td|th|blockquote|section|article|header|footer|pre|figure|figcaption)\\b[^>]*>', ' ', 'gi'), '<[^>]*>', '', 'g'), '[\\s\\x{00a0}]+', ' ', 'g'))) AS digest FROM (SELECT DISTINCT * FROM ingestion_engine) WHERE coalesce(body, '') NOT LIKE '%&%'")
+def plain_sql(c: str) -> str:
+    """The text without markup, as text.plain has it."""
+    out = f"regexp_replace(regexp_replace(coalesce({c}, ''), '</?(?:{text.BLOCKS})\\b[^>]*>', ' ', 'gi'), '<[^>]*>', '', 'g')"
+    for k, v in text.ENTITIES.items():
+        out = "replace({}, '{}', '{}')".format(out, k, v.replace("'", "''"))
+    return f"trim(regexp_replace({out}, '[\\s\\x{{00a0}}]+', ' ', 'g'))"
+
+
+@query("text_plain", f"SELECT item_id, md5({plain_sql('body')}) AS digest FROM (SELECT DISTINCT * FROM ingestion_engine)")
 def _(spark, d):
-    b = views.once(table(spark, d, "ingestion_engine"), "item_id").filter(~F.contains(F.coalesce("body", F.lit("")), F.lit("&")))
-    return b.select("item_id", F.md5(text.plain(F.col("body"))).alias("digest"))
+    return views.once(table(spark, d, "ingestion_engine"), "item_id").select("item_id", F.md5(text.plain(F.col("body"))).alias("digest"))
 
 
 @query("text_shingle_counts", f"WITH w AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents) SELECT doc_id, greatest(len(w) - 4, 0)::INT AS all_, len(list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]))::INT AS different FROM w")
@@ -389,10 +396,9 @@ def _(spark, d):
     return views.once(table(spark, d, "ingestion_engine"), "item_id").select("item_id", text.byline(F.col("body"), wires).alias("wire"))
 
 
-@query("text_partial", f"SELECT item_id, (len({WORDS.format('abstract')}) < 15)::INT AS is_short FROM (SELECT DISTINCT * FROM ingestion_engine) WHERE coalesce(abstract, '') NOT LIKE '%&%' AND coalesce(abstract, '') NOT LIKE '%<%'")
+@query("text_partial", f"SELECT item_id, (len({WORDS.format(plain_sql('abstract'))}) < 15)::INT AS is_short FROM (SELECT DISTINCT * FROM ingestion_engine)")
 def _(spark, d):
-    i = views.once(table(spark, d, "ingestion_engine"), "item_id").filter("coalesce(abstract, '') NOT LIKE '%&%' AND coalesce(abstract, '') NOT LIKE '%<%'")
-    return i.select("item_id", text.partial(F.col("abstract"), 15).alias("is_short"))
+    return views.once(table(spark, d, "ingestion_engine"), "item_id").select("item_id", text.partial(F.col("abstract"), 15).alias("is_short"))
 
 
 @query("text_scores", f"SELECT source_id, CASE WHEN score IS NOT NULL THEN greatest(-2, least(2, score * 2)) END AS clamped, CASE WHEN score < 0 THEN 'left' WHEN score = 0 THEN 'center' WHEN score > 0 THEN 'right' END AS legacy, CASE WHEN topic IN ('economy', 'health', 'politics') THEN topic ELSE 'general' END AS topic FROM {CARDS}")
@@ -410,11 +416,11 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return dedup.shingled(g, "id", F.concat_ws(" ", "title", "body_excerpt")).join(c, "id")
 
 
-@query("dedup_signatures", f"WITH s AS (SELECT id, list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS sh FROM (SELECT id, {WORDS.format('body_excerpt')} AS w FROM (SELECT DISTINCT id, body_excerpt FROM classify_cluster))), e AS (SELECT id, unnest(sh) AS g FROM s), h AS (SELECT id, ('0x' || substr(md5(g), 1, 8))::UBIGINT AS x FROM e), m AS (SELECT id, k, min((x * (((k + 1) * 1103515245 + 12345) % 2147483647)::UBIGINT + (((k + 1) * 69069 + 1) % 2147483647)::UBIGINT) % 2147483647) AS v FROM h, range(8) r(k) GROUP BY 1, 2) SELECT id, string_agg(v::VARCHAR, ',' ORDER BY k) AS head FROM m GROUP BY 1")
+@query("dedup_signatures", f"WITH s AS (SELECT id, list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS sh FROM (SELECT id, {WORDS.format('body_excerpt')} AS w FROM (SELECT DISTINCT id, body_excerpt FROM classify_cluster))), e AS (SELECT id, unnest(sh) AS g FROM s), h AS (SELECT id, ('0x' || substr(md5(g), 1, 8))::UBIGINT AS x FROM e), m AS (SELECT id, k, min((x * (((k + 1) * 1103515245 + 12345) % 2147483647)::UBIGINT + (((k + 1) * 69069 + 1) % 2147483647)::UBIGINT) % 2147483647) AS v FROM h, range(128) r(k) GROUP BY 1, 2) SELECT id, string_agg(v::VARCHAR, ',' ORDER BY k) AS signature FROM m GROUP BY 1")
 def _(spark, d):
     g = views.once(table(spark, d, "classify_cluster"), "id")
     sig = dedup.signatures(dedup.shingled(g, "id", F.col("body_excerpt")).select("id", "sh"))
-    return sig.filter("size > 0").select("id", F.array_join(F.transform(F.slice("sig", 1, 8), lambda x: x.cast("string")), ",").alias("head"))
+    return sig.filter("size > 0").select("id", F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").alias("signature"))
 
 
 MATCH = f"""WITH t AS (SELECT g.id, c.created, {WORDS.format("concat_ws(' ', title, body_excerpt)").replace("body_excerpt", "g.body_excerpt").replace("title", "g.title")} AS w FROM (SELECT DISTINCT id, title, body_excerpt FROM classify_cluster) g JOIN {CARDS} c ON c.source_id = g.id),
