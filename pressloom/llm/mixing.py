@@ -4,10 +4,8 @@ Each document of a source is expected to be used e = wanted tokens / tokens of t
 running sum of e is taken, one random offset is added, and a document is used once for every whole number its stretch crosses: floor(e)
 or ceil(e) times, never more than max_repeats as e is capped by it. Documents run by size, so short and long ones are drawn evenly.
 
-A source of few draws and some very long documents would still miss its share by one of them. So a document that alone would fill more
-than a sixteenth of the share isn't drawn as long as the others, repeated no more than allowed, can give it; and the offset is drawn from OFFSETS equally
-spaced ones, and the one that brings the source nearest to its wanted tokens is kept. The tokens of all offsets come from one pass: a
-document's uses change at two offsets only, so each document adds its tokens at one and takes them away at the other.
+The offset depends on the seed and the source only, never on sizes: over all offsets a document of any size is used e times on average.
+So a source of few draws and some very long documents misses its share by what the draw happens to hold; the report gives the miss.
 
 Targets of sources without tokens can't be met; the others keep their proportions. By default the mix is the largest in which every
 source still reaches its share: the smallest source, used max_repeats times throughout, sets the total. A larger `total` is filled by
@@ -19,43 +17,24 @@ with the sum of its shares and its lower cap; null or negative shares count as 0
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.llm.sizes import running
 from pressloom.session import settle
 
 
-#: A document that alone would fill more than 1 / COARSE of its source's share isn't drawn where the others suffice.
-COARSE = 16
-#: Offsets tried per source: (j + 1/2) / OFFSETS, binary fractions, so that sums with whole numbers are exact.
-OFFSETS = 1024
-
-
-def _offsets(drawn: DataFrame, seed: int) -> DataFrame:
-    """Per source the offset whose draw comes nearest to the wanted tokens. drawn: source, n, rank, copies."""
-    at = lambda r: r.cast("double") * F.col("copies")
-    # uses at offset u = whole part + [u >= 1 - frac(end)] - [u >= 1 - frac(begin)]
-    turn = lambda x: F.least(F.greatest(F.ceil((1 - (x - F.floor(x))) * OFFSETS - 0.5), F.lit(0)), F.lit(OFFSETS)).cast("int")
-    begin, end = at(F.col("rank")), at(F.col("rank") + 1)
-    steps = F.array(
-        F.struct(F.lit(0).alias("j"), ((F.floor(end) - F.floor(begin)) * F.col("n")).alias("t")),
-        F.struct(turn(end).alias("j"), F.col("n").alias("t")), F.struct(turn(begin).alias("j"), (-F.col("n")).alias("t")),
-    )
-    sums = drawn.select("source", F.explode(steps).alias("s"), (F.col("copies") * F.col("n")).alias("w")).select("source", "s.j", "s.t", (F.col("w") / 3).alias("w"))
-    sums = sums.groupBy("source", "j").agg(F.sum("t").alias("t"), F.sum("w").alias("w"))
-    # every offset once, also those at which nothing changes; OFFSETS rows per listed source
-    grid = sums.select("source").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))))
-    all_ = grid.join(sums, ["source", "j"], "full_outer")
-    by = Window.partitionBy("source")
-    reached = all_.withColumn("reached", F.sum(F.coalesce("t", F.lit(0))).over(by.orderBy("j").rowsBetween(Window.unboundedPreceding, 0))).withColumn("wanted", F.sum("w").over(by))
-    key = F.struct(F.round(F.abs(F.col("reached") - F.col("wanted"))).alias("d"), F.xxhash64(F.lit(seed), "source", "j").alias("h"), "j")
-    return reached.filter(F.col("j") < OFFSETS).groupBy("source").agg(((F.min(key)["j"] + 0.5) / OFFSETS).alias("offset"))
+#: Offsets are (j + 1/2) / OFFSETS, binary fractions, so that sums with whole numbers are exact.
+OFFSETS = 1 << 20
+
+
+def offset(seed: int, source: Column) -> Column:
+    return (F.pmod(F.xxhash64(F.lit(seed), source), F.lit(OFFSETS)) + 0.5) / OFFSETS
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
-    """One row per listed source: docs, tokens, target_share, wanted_share (among sources with tokens), max_repeats, wanted_tokens,
-    longest (document drawn, null for any) and copies (e)."""
+    """One row per listed source: docs, tokens, target_share, wanted_share (among sources with tokens), max_repeats, wanted_tokens
+    and copies (e)."""
     sizes = sizes.select("doc_id", "source", "n")
     t = targets.filter("source IS NOT NULL").groupBy("source").agg(F.sum(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.min(F.greatest(F.coalesce("max_repeats", F.lit(1)), F.lit(0))).alias("max_repeats"))
     s = sizes.filter("n > 0").groupBy("source").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
@@ -67,37 +46,31 @@ def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> Data
     want = F.when(live, F.col("target_share") / F.col("given")).otherwise(0.0)
     goal = F.lit(float(total)) if total is not None else F.col("limit") * F.col("given")
     out = out.select("source", "docs", "tokens", "target_share", want.alias("wanted_share"), "max_repeats", F.when(live, want * goal).otherwise(0.0).alias("wanted_tokens"))
-    fine = out.select(F.col("source").alias("__src"), "wanted_tokens")
-    short = sizes.filter("n > 0").join(fine, F.col("source") == F.col("__src")).groupBy("source").agg(F.sum(F.when(F.col("n") * COARSE <= F.col("wanted_tokens"), F.col("n")).otherwise(0)).alias("short"))
-    out = out.join(short, "source", "left").na.fill(0, ["short"])
-    enough = F.col("short") * F.col("max_repeats") >= F.col("wanted_tokens")
-    out = out.withColumn("longest", F.when(enough & (F.col("wanted_tokens") > 0), F.floor(F.col("wanted_tokens") / COARSE)))
-    e = F.least(F.col("wanted_tokens") / F.when(F.col("longest").isNotNull(), F.col("short")).otherwise(F.col("tokens")), F.col("max_repeats").cast("double"))
+    e = F.least(F.col("wanted_tokens") / F.col("tokens"), F.col("max_repeats").cast("double"))
     e = F.when(F.col("wanted_tokens") > 0, e).otherwise(0.0)
     # the source that sets the total is used exactly max_repeats times, whatever the rounding
     e = F.when(F.abs(e - F.round(e)) < 1e-9, F.round(e)).otherwise(e)
-    return out.withColumn("copies", e).drop("short")
+    return out.withColumn("copies", e)
 
 
 def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 11, salts: int = 64) -> DataFrame:
     """sizes: doc_id, source, n. Rows doc_id, source, n, uses."""
     sizes = sizes.select("doc_id", "source", "n")
-    # one row per listed source, used three times
-    p = settle(plan(sizes, targets, total), "plan").filter("copies > 0").select(F.col("source").alias("__src"), "copies", "longest")
-    fits = "n > 0 AND (longest IS NULL OR n <= longest)"
-    drawn = sizes.join(p, F.col("source") == F.col("__src")).filter(fits).drop("__src").withColumn("one", F.lit(1))
-    drawn = settle(running(drawn, ["source"], "n", "doc_id", "one", "rank", salts).select("doc_id", "source", "n", "rank", "copies"), "drawn")
-    put = drawn.join(_offsets(drawn, seed).withColumnRenamed("source", "__src"), F.col("source") == F.col("__src"))
-    mark = lambda r: F.floor(r.cast("double") * F.col("copies") + F.col("offset"))
-    used = put.select("doc_id", "source", "n", (mark(F.col("rank") + 1) - mark(F.col("rank"))).cast("int").alias("uses"))
-    rest = sizes.join(p, F.col("source") == F.col("__src"), "left").filter(f"copies IS NULL OR NOT ({fits})").select("doc_id", "source", "n", F.lit(0).alias("uses"))
+    # one row per listed source, used twice
+    p = settle(plan(sizes, targets, total), "plan").filter("copies > 0").select(F.col("source").alias("__src"), "copies")
+    drawn = sizes.filter("n > 0").join(p, F.col("source") == F.col("__src")).drop("__src").withColumn("one", F.lit(1))
+    drawn = running(drawn, ["source"], "n", "doc_id", "one", "rank", salts)
+    mark = lambda r: F.floor(r.cast("double") * F.col("copies") + offset(seed, F.col("source")))
+    used = drawn.select("doc_id", "source", "n", (mark(F.col("rank") + 1) - mark(F.col("rank"))).cast("int").alias("uses"))
+    rest = sizes.join(p, F.col("source") == F.col("__src"), "left").filter("copies IS NULL OR n IS NULL OR n <= 0").select("doc_id", "source", "n", F.lit(0).alias("uses"))
     return used.unionByName(rest)
 
 
 def report(mixed: DataFrame, sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
-    """Per listed source the shares wanted and reached."""
+    """Per listed source the shares wanted and reached, and by how much the one misses the other."""
     got = mixed.groupBy("source").agg(F.sum(F.col("n") * F.col("uses")).alias("reached_tokens"), F.sum(F.when(F.col("uses") > 0, 1).otherwise(0)).alias("docs_used"), F.max("uses").alias("most_uses"))
     out = plan(sizes, targets, total).join(got, "source", "left").na.fill(0, ["reached_tokens", "docs_used", "most_uses"])
     whole = out.agg(F.sum("reached_tokens").alias("__all")).withColumn("one", F.lit(1))
     out = out.withColumn("one", F.lit(1)).join(whole, "one").drop("one")
-    return out.withColumn("reached_share", F.when(F.col("__all") > 0, F.col("reached_tokens") / F.col("__all")).otherwise(0.0)).drop("__all")
+    out = out.withColumn("reached_share", F.when(F.col("__all") > 0, F.col("reached_tokens") / F.col("__all")).otherwise(0.0)).drop("__all")
+    return out.withColumn("share_miss", F.col("reached_share") - F.col("wanted_share"))

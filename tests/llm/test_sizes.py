@@ -133,3 +133,18 @@ def test_mix_edges(spark):
     assert {r.uses for r in mixing.mix(sizes, odd).collect()} == {1}
     assert mixing.mix(sizes.limit(0), odd).count() == 0
     assert mixing.report(mixing.mix(sizes.limit(0), odd), sizes.limit(0), odd).select(F.sum("reached_tokens")).first()[0] == 0
+
+
+def test_mix_bars_no_size(spark):
+    # "a" could give its 4000 tokens by its short documents alone; the long one still gets its e = 4/3 copies
+    rows = [(i, "a", 10, 1, 1) for i in range(100)] + [(200, "a", 2000, 1, 1)] + [(300 + i, "b", 100, 1, 1) for i in range(10)]
+    sizes = spark.createDataFrame(rows, SIZES)
+    targets = spark.createDataFrame([("a", 0.5, 4), ("b", 0.5, 4)], "source string, target_share double, max_repeats int")
+    m = mixing.mix(sizes, targets)
+    got = {x.doc_id: x.uses for x in m.collect()}
+    assert got[200] in (1, 2) and {got[i] for i in range(100)} == {1, 2}
+    rep = {x.source: x for x in mixing.report(m, sizes, targets).collect()}
+    assert abs(rep["a"].copies - 4 / 3) < 1e-9 and abs(rep["a"].share_miss - (rep["a"].reached_share - 0.5)) < 1e-9
+    # the offset is the seed's, whatever the sizes: no part of the offsets is left out
+    at = sorted(spark.range(64).select(mixing.offset(11, F.col("id").cast("string")).alias("u")).toPandas()["u"])
+    assert at[0] < 0.2 and at[-1] > 0.8
