@@ -1,7 +1,7 @@
 """One pass of new articles through the pipeline, as joins over whole batches.
 
 A batch is a set, but an article may repeat or copy an earlier one of the same batch: "earlier" is by (created, id), and chains of copies
-are followed after the joins, so the result doesn't depend on how articles are cut into batches.
+are followed to their ends after the joins, so the result doesn't depend on how articles are cut into batches.
 """
 
 from __future__ import annotations
@@ -37,17 +37,41 @@ def new_by_url(batch: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame
     return b.filter("_new").drop("_n", "_k", "_new"), b.filter("NOT _new").drop("_n", "_k", "_new")
 
 
-def originals(batch: DataFrame, seen: DataFrame, hops: int = 5) -> DataFrame:
-    """id, of: for each article that copies an earlier one, the first card of the chain. batch, seen: id, created, text."""
+def ends(link: DataFrame) -> DataFrame:
+    """id, of: pointers followed until nothing changes, twice as far each round. link: id, of, one row per id. Rows that lead into a ring are left out."""
+    cur = settle(link.select("id", "of", F.lit(True).alias("moved")), "link")
+    # a way without a ring is no longer than the number of pointers
+    for _ in range(cur.count().bit_length() + 1):
+        nxt = cur.select(F.col("id").alias("_i"), F.col("of").alias("_o"))
+        cur = settle(cur.join(nxt, F.col("of") == F.col("_i"), "left").select("id", F.coalesce("_o", "of").alias("of"), F.col("_o").isNotNull().alias("moved")), "link")
+        if cur.filter("moved").isEmpty():
+            break
+    return cur.filter("NOT moved").select("id", "of")
+
+
+def originals(batch: DataFrame, seen: DataFrame, cards: DataFrame) -> DataFrame:
+    """id, of: for each article that copies an earlier one, the card all goes back to: the earliest by (created, id) of those that its
+    matches, and theirs, lead to and that copy none themselves. batch, seen: id, created, text; cards: the known cards."""
     both = batch.select("id", "created", "text").unionByName(seen.select("id", "created", "text"))
     sh = dedup.shingled(both, "id", F.col("text")).join(both.select("id", "created"), "id")
-    first = dedup.first_of(dedup.matches(sh), both)
-    link = first.join(batch.select("id"), "id", "left_semi")
-    cur = link
-    for _ in range(hops - 1):
-        nxt = link.select(F.col("id").alias("_i"), F.col("of").alias("_o"))
-        cur = cur.join(nxt, F.col("of") == F.col("_i"), "left").select("id", F.coalesce("_o", "of").alias("of"))
-    return cur
+    found = dedup.matches(sh).select("id", "of").join(batch.select("id"), "id", "left_semi")
+    known = cards.select(F.col("source_id").alias("id"), "created").dropDuplicates(["id"])
+    if "syndicated_from" in cards.columns:
+        link = cards.dropDuplicates(["source_id"]).select(F.col("source_id").alias("id"), F.col("syndicated_from").alias("of")).filter("id <> of")
+        root = ends(link.join(known.select(F.col("id").alias("of")), "of", "left_semi")).select(F.col("id").alias("_i"), F.col("of").alias("_o"))
+        found = found.join(root, F.col("of") == F.col("_i"), "left").select("id", F.coalesce("_o", "of").alias("of"))
+    made = batch.select("id", "created").unionByName(known).select(F.col("id").alias("of"), "created")
+    step = settle(found.distinct().join(made, "of").select("id", "of", F.struct("created", "of").alias("at")), "steps")
+    # a card at the end of each chain of earliest matches, then the earliest one over all matches, until nothing changes
+    first = step.groupBy("id").agg(F.min("at")["of"].alias("of"))
+    cur = settle(ends(first).join(made, "of").select("id", F.struct("created", "of").alias("root")), "roots")
+    while True:
+        over = cur.select(F.col("id").alias("_i"), F.col("root").alias("_r"))
+        best = step.join(over, F.col("of") == F.col("_i"), "left").groupBy("id").agg(F.min(F.coalesce("_r", "at")).alias("best"))
+        new = settle(best.join(cur, "id").select("id", F.col("best").alias("root"), (F.col("best") != F.col("root")).alias("moved")), "roots")
+        if new.filter("moved").isEmpty():
+            return new.select("id", F.col("root.of").alias("of"))
+        cur = new
 
 
 def run_batch(batch: DataFrame, cards: DataFrame, stories: DataFrame, texts: DataFrame, scorer: Scorer, candidates: DataFrame | None = None) -> Outcome:
@@ -59,7 +83,7 @@ def run_batch(batch: DataFrame, cards: DataFrame, stories: DataFrame, texts: Dat
     fresh, dropped = new_by_url(batch, cards)
     fresh = settle(fresh, "fresh")
     seen = cards.select(F.col("source_id").alias("id"), "created").join(texts.select(F.col("source_id").alias("id"), "text"), "id")
-    copies = settle(originals(fresh, seen), "copies")
+    copies = settle(originals(fresh, seen, cards), "copies")
     own = fresh.join(copies.select("id"), "id", "left_anti")
     near = candidates.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("k"), "story_id"))).alias("candidates")) if candidates is not None else None
     asked = own.join(near, "id", "left") if near is not None else own.withColumn("candidates", F.array().cast("array<struct<k:double,story_id:bigint>>"))
@@ -69,7 +93,7 @@ def run_batch(batch: DataFrame, cards: DataFrame, stories: DataFrame, texts: Dat
     shape = lambda df: df.select(F.col("id").alias("source_id"), "title", "outlet", "section", "created", F.col("url").alias("original_url"), "syndicated_from", "story_id", "score", "confidence", "topic")
     first = shape(j.withColumn("syndicated_from", F.lit(None).cast("long")))
     pool = first.select("source_id", "story_id", "score", "confidence", "topic").unionByName(cards.select("source_id", "story_id", "score", F.col("confidence").cast(first.schema["confidence"].dataType).alias("confidence"), "topic"))
-    c = fresh.select("id", "url", "title", "outlet", "section", "created").join(copies, "id").join(pool.withColumnRenamed("source_id", "of"), "of").withColumnRenamed("of", "syndicated_from")
+    c = fresh.select("id", "url", "title", "outlet", "section", "created").join(copies, "id").join(pool.withColumnRenamed("source_id", "of"), "of", "left").withColumnRenamed("of", "syndicated_from")
     made = first.unionByName(shape(c))
     opened = j.filter("opens").select("story_id", "title", "created", "topic")
     n = lambda df, name: df.agg(F.count("*").alias(name))

@@ -41,6 +41,35 @@ def test_batch(spark):
     assert out.counts.first().asDict() == {"processed": 8, "duplicates": 2, "syndicated": 3, "created": 2, "cards": 6}
 
 
+BATCH = "id long, url string, title string, outlet string, section string, created long, text string"
+
+
+def alone(df):
+    return df.select("id", F.lit(1).alias("score"), F.lit(0.5).alias("confidence"), F.lit("health").alias("topic"), F.lit(None).cast("long").alias("story_id"))
+
+
+def test_long_chains(spark):
+    h, a, b, c = 3600, text(1), text(2), text(3)
+    # each copy of a reaches the one before only; b copies a card that is a copy of a copy; a ring of cards ends where it was met
+    batch = [(100 + i, f"a{i}", "t", "A", "news", (i + 1) * 40 * h, a) for i in range(14)] + [(200, "b", "t", "B", "news", 1000 * h, b), (300, "c", "t", "C", "news", 1000 * h, c)]
+    cards = [(1, "k1", 900 * h, 50, 2, 0.9, "economy", None), (2, "k2", 940 * h, 50, 2, 0.9, "economy", 1), (3, "k3", 980 * h, 50, 2, 0.9, "economy", 2), (4, "k4", 990 * h, 51, 2, 0.9, "economy", 5), (5, "k5", 991 * h, 51, 2, 0.9, "economy", 4)]
+    texts = spark.createDataFrame([(3, b), (4, c)], "source_id long, text string")
+    out = pipeline.run_batch(spark.createDataFrame(batch, BATCH), spark.createDataFrame(cards, CARD + ", syndicated_from long"), spark.createDataFrame([(50,), (51,)], "story_id long"), texts, alone)
+    r = {x.source_id: x for x in out.cards.collect()}
+    assert set(r) == {x[0] for x in batch} and {r[100 + i].syndicated_from for i in range(1, 14)} == {100}
+    assert (r[200].syndicated_from, r[300].syndicated_from, r[300].story_id) == (1, 4, 51)
+    assert out.counts.first().asDict() == {"processed": 16, "duplicates": 0, "syndicated": 15, "created": 1, "cards": 16}
+
+
+def test_earliest_root_over_all_matches(spark):
+    # 13 holds both halves: 11 came before 12, but 12 goes back to 10, which is older and too far off for 13
+    h, a, b = 3600, text(1), text(2)
+    batch = [(10, "u0", "t", "A", "news", 10 * h, b), (11, "u1", "t", "B", "news", 40 * h, a), (12, "u2", "t", "C", "news", 50 * h, b), (13, "u3", "t", "D", "news", 80 * h, a + " " + b)]
+    none = spark.createDataFrame([], CARD), spark.createDataFrame([], "story_id long"), spark.createDataFrame([], "source_id long, text string")
+    r = {x.source_id: x.syndicated_from for x in pipeline.run_batch(spark.createDataFrame(batch, BATCH), *none, alone).cards.collect()}
+    assert r == {10: None, 11: None, 12: 10, 13: 10}
+
+
 def test_evaluation_drivers(spark):
     from pressloom.functions.spectrum import FIVE
     from pressloom.operators import views
