@@ -69,28 +69,34 @@ def containment(jaccard: Column, size_a: Column, size_b: Column) -> Column:
     return F.when(small > 0, F.least(F.lit(1.0), jaccard * (size_a + size_b) / (1 + jaccard) / small)).otherwise(0.0)
 
 
-def matches(docs: DataFrame, least_jaccard: tuple[int, int] = (4, 5), least_containment: tuple[int, int] = (17, 20), window: int = 48 * 3600, least_words: int = LEAST_WORDS) -> DataFrame:
+def matches(docs: DataFrame, least_jaccard: tuple[int, int] = (4, 5), least_containment: tuple[int, int] = (17, 20), window: int = 48 * 3600, least_words: int = LEAST_WORDS, least_wired: tuple[int, int] = (1, 2)) -> DataFrame:
     """(id, of, shared, size, size_of): `of` came before `id` (by created, id) within the window and the two are similar enough, either
-    by Jaccard or by the share of the smaller one. docs: id, created, words, sh.
+    by Jaccard or by the share of the smaller one. docs: id, created, words, sh, and wire where known (null for none): for two texts of the
+    same wire both limits are `least_wired`.
 
     Exact, by prefixes: two sets of which the smaller, of n shingles, has a share c in the other must share one of its n - ceil(c n) + 1
     rarest shingles. So the rare ends of all sets are met with all shingles of all sets, and pairs found are counted out. c is the
-    smaller of both limits, as a Jaccard coefficient of j puts at least a share j of the smaller set into the other.
+    smaller of both limits, as a Jaccard coefficient of j puts at least a share j of the smaller set into the other. The ends of texts with a wire are longer, and what is beyond the usual
+    end meets texts of that wire only.
     """
     cn, cd = min(least_jaccard, least_containment, key=lambda f: f[0] / f[1])
-    d = docs.filter((F.col("words") >= least_words) & (F.size("sh") > 0)).select("id", "created", F.size("sh").alias("n"), F.explode(F.transform("sh", lambda s: F.xxhash64(s))).alias("s"))
+    wire = F.col("wire") if "wire" in docs.columns else F.lit(None).cast("string")
+    d = docs.filter((F.col("words") >= least_words) & (F.size("sh") > 0)).select("id", "created", wire.alias("wire"), F.size("sh").alias("n"), F.explode(F.transform("sh", lambda s: F.xxhash64(s))).alias("s"))
     df = d.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
-    lists = d.join(df, "s").groupBy("id", "created", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("x"))
-    lists = settle(lists.select("id", "created", "n", F.col("x.s").alias("toks")), "postings")
-    keep = F.col("n") - F.floor((cn * F.col("n") + cd - 1) / cd) + 1 - (F.col("n") - F.size("toks"))
-    rare = lists.withColumn("k", keep.cast("int")).filter("k > 0").select("id", "created", "n", F.explode(F.slice("toks", 1, F.col("k"))).alias("s"))
-    full = lists.select(F.col("id").alias("o"), F.col("created").alias("ot"), F.col("n").alias("on"), F.explode("toks").alias("s"))
-    near = rare.join(full, "s").filter((F.col("id") != F.col("o")) & (F.abs(F.col("created") - F.col("ot")) <= window) & (F.col("n") <= F.col("on")))
+    lists = d.join(df, "s").groupBy("id", "created", "wire", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("x"))
+    lists = settle(lists.select("id", "created", "wire", "n", F.col("x.s").alias("toks")), "postings")
+    keep = lambda cn, cd: (F.col("n") - F.floor((cn * F.col("n") + cd - 1) / cd) + 1 - (F.col("n") - F.size("toks"))).cast("int")
+    k, wide = keep(cn, cd), keep(*min((cn, cd), least_wired, key=lambda f: f[0] / f[1]))
+    rare = lists.withColumn("k", k).withColumn("wide", F.when(F.col("wire").isNotNull(), wide).otherwise(k)).filter("wide > 0")
+    rare = rare.select("id", "created", "wire", "n", "k", F.posexplode(F.slice("toks", 1, F.col("wide"))).alias("at", "s"))
+    full = lists.select(F.col("id").alias("o"), F.col("created").alias("ot"), F.col("wire").alias("ow"), F.col("n").alias("on"), F.explode("toks").alias("s"))
+    near = rare.join(full, "s").filter((F.col("id") != F.col("o")) & (F.abs(F.col("created") - F.col("ot")) <= window) & (F.col("n") <= F.col("on")) & ((F.col("at") < F.col("k")) | (F.col("wire") == F.col("ow"))))
     pair = near.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-    side = lambda c: lists.select(F.col("id").alias(c), F.col("created").alias(f"{c}t"), F.col("n").alias(f"{c}n"), F.col("toks").alias(f"{c}x"))
+    side = lambda c: lists.select(F.col("id").alias(c), F.col("created").alias(f"{c}t"), F.col("wire").alias(f"{c}w"), F.col("n").alias(f"{c}n"), F.col("toks").alias(f"{c}x"))
     p = pair.join(side("a"), "a").join(side("b"), "b")
     p = p.withColumn("shared", F.size(F.array_intersect("ax", "bx")))
-    alike = (least_jaccard[1] * F.col("shared") >= least_jaccard[0] * (F.col("an") + F.col("bn") - F.col("shared"))) | (least_containment[1] * F.col("shared") >= least_containment[0] * F.least("an", "bn"))
+    reach = lambda j, c: (j[1] * F.col("shared") >= j[0] * (F.col("an") + F.col("bn") - F.col("shared"))) | (c[1] * F.col("shared") >= c[0] * F.least("an", "bn"))
+    alike = reach(least_jaccard, least_containment) | (F.col("aw") == F.col("bw")) & reach(least_wired, least_wired)
     later = F.struct("at", "a") > F.struct("bt", "b")
     p = p.filter(alike).withColumn("later", later)
     pick = lambda x, y: F.when(F.col("later"), F.col(x)).otherwise(F.col(y))

@@ -22,6 +22,8 @@ _sql: dict[str, str] = {}
 
 #: The reports' time: all test rows lie before it.
 NOW, TODAY = 1783000000, "2026-07-02"
+#: Literals of wire bylines and the wires they name.
+WIRES = [("Longacre Wire", "Longacre Wire"), ("Quarrel Wire", "Quarrel Wire"), ("Thornbury-on-Lea Wire", "Thornbury-on-Lea Wire")]
 B5 = [b.key for b in sp.FIVE]
 
 CARDS = "(SELECT DISTINCT * FROM cards)"
@@ -392,8 +394,7 @@ def _(spark, d):
 
 @query("text_bylines")
 def _(spark, d):
-    wires = [("Longacre Wire", "Longacre Wire"), ("Quarrel Wire", "Quarrel Wire"), ("Thornbury-on-Lea Wire", "Thornbury-on-Lea Wire")]
-    return views.once(table(spark, d, "ingestion_engine"), "item_id").select("item_id", text.byline(F.col("body"), wires).alias("wire"))
+    return views.once(table(spark, d, "ingestion_engine"), "item_id").select("item_id", text.byline(F.col("body"), WIRES).alias("wire"))
 
 
 @query("text_partial", f"SELECT item_id, (len({WORDS.format(plain_sql('abstract'))}) < 15)::INT AS is_short FROM (SELECT DISTINCT * FROM ingestion_engine)")
@@ -413,7 +414,8 @@ def _(spark, d):
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     g = views.once(table(spark, d, "classify_cluster"), "id")
     c = views.once(table(spark, d, "cards"), "source_id").select(F.col("source_id").alias("id"), "created")
-    return dedup.shingled(g, "id", F.concat_ws(" ", "title", "body_excerpt")).join(c, "id")
+    w = g.select("id", text.byline(text.plain(F.col("body_excerpt")), WIRES).alias("wire"))
+    return dedup.shingled(g, "id", F.concat_ws(" ", "title", "body_excerpt")).join(c, "id").join(w, "id")
 
 
 @query("dedup_signatures", f"WITH s AS (SELECT id, list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS sh FROM (SELECT id, {WORDS.format('body_excerpt')} AS w FROM (SELECT DISTINCT id, body_excerpt FROM classify_cluster))), e AS (SELECT id, unnest(sh) AS g FROM s), h AS (SELECT id, ('0x' || substr(md5(g), 1, 8))::UBIGINT AS x FROM e), m AS (SELECT id, k, min((x * (((k + 1) * 1103515245 + 12345) % 2147483647)::UBIGINT + (((k + 1) * 69069 + 1) % 2147483647)::UBIGINT) % 2147483647) AS v FROM h, range(128) r(k) GROUP BY 1, 2) SELECT id, string_agg(v::VARCHAR, ',' ORDER BY k) AS signature FROM m GROUP BY 1")

@@ -6,12 +6,13 @@ are followed to their ends after the joins, so the result doesn't depend on how
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressloom.functions import text as text_
 from pressloom.operators import dedup
 from pressloom.session import settle
 
@@ -49,11 +50,12 @@ def ends(link: DataFrame) -> DataFrame:
     return cur.filter("NOT moved").select("id", "of")
 
 
-def originals(batch: DataFrame, seen: DataFrame, cards: DataFrame) -> DataFrame:
+def originals(batch: DataFrame, seen: DataFrame, cards: DataFrame, wires: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """id, of: for each article that copies an earlier one, the card all goes back to: the earliest by (created, id) of those that its
-    matches, and theirs, lead to and that copy none themselves. batch, seen: id, created, text; cards: the known cards."""
+    matches, and theirs, lead to and that copy none themselves. batch, seen: id, created, text; cards: the known cards; wires:
+    literals of bylines and the wires they name."""
     both = batch.select("id", "created", "text").unionByName(seen.select("id", "created", "text"))
-    sh = dedup.shingled(both, "id", F.col("text")).join(both.select("id", "created"), "id")
+    sh = dedup.shingled(both, "id", F.col("text")).join(both.select("id", "created", text_.byline(text_.plain(F.col("text")), wires).alias("wire")), "id")
     found = dedup.matches(sh).select("id", "of").join(batch.select("id"), "id", "left_semi")
     known = cards.select(F.col("source_id").alias("id"), "created").dropDuplicates(["id"])
     if "syndicated_from" in cards.columns:
@@ -74,8 +76,9 @@ def originals(batch: DataFrame, seen: DataFrame, cards: DataFrame) -> DataFrame:
         cur = new
 
 
-def run_batch(batch: DataFrame, cards: DataFrame, stories: DataFrame, texts: DataFrame, scorer: Scorer, candidates: DataFrame | None = None) -> Outcome:
-    """batch: id, url, title, outlet, section, created, text; texts: source_id, text of known cards; candidates: id, story_id, similarity.
+def run_batch(batch: DataFrame, cards: DataFrame, stories: DataFrame, texts: DataFrame, scorer: Scorer, candidates: DataFrame | None = None, wires: Sequence[tuple[str, str]] = ()) -> Outcome:
+    """batch: id, url, title, outlet, section, created, text; texts: source_id, text of known cards; candidates: id, story_id, similarity;
+    wires: literals of bylines and the wires they name, whose copies match at lower limits.
 
     Copies take over the judgement of their original; the rest goes to the scorer once. An article without a matching story opens one,
     with the article's id as the story's.
@@ -83,7 +86,7 @@ def run_batch(batch: DataFrame, cards: DataFrame, stories: DataFrame, texts: Dat
     fresh, dropped = new_by_url(batch, cards)
     fresh = settle(fresh, "fresh")
     seen = cards.select(F.col("source_id").alias("id"), "created").join(texts.select(F.col("source_id").alias("id"), "text"), "id")
-    copies = settle(originals(fresh, seen, cards), "copies")
+    copies = settle(originals(fresh, seen, cards, wires), "copies")
     own = fresh.join(copies.select("id"), "id", "left_anti")
     near = candidates.groupBy("id").agg(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("k"), "story_id"))).alias("candidates")) if candidates is not None else None
     asked = own.join(near, "id", "left") if near is not None else own.withColumn("candidates", F.array().cast("array<struct<k:double,story_id:bigint>>"))

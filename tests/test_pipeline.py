@@ -70,6 +70,14 @@ def test_earliest_root_over_all_matches(spark):
     assert r == {10: None, 11: None, 12: 10, 13: 10}
 
 
+def test_copies_of_a_wire(spark):
+    a = text(1, 80)
+    batch = spark.createDataFrame([(i, f"u{i}", "t", "A", "news", 100 * i, f"{by} {a} {text(10 + i, 40)}") for i, by in ((1, "(WIRE A)"), (2, "(Wire A)"), (3, "(Wire B)"), (4, ""))], BATCH)
+    none = spark.createDataFrame([], CARD), spark.createDataFrame([], "story_id long"), spark.createDataFrame([], "source_id long, text string")
+    out = pipeline.run_batch(batch, *none, alone, wires=[("wire a", "A"), ("wire b", "B")])
+    assert {x.source_id: x.syndicated_from for x in out.cards.collect()} == {1: None, 2: 1, 3: None, 4: None}
+
+
 def test_evaluation_drivers(spark):
     from pressloom.functions.spectrum import FIVE
     from pressloom.operators import views

@@ -95,6 +95,44 @@ def test_matches_by_brute_force(spark):
     assert all(first[a] == min(((sets[b][0], b) for a2, b, _ in want if a2 == a))[1] for a in first)
 
 
+def test_matches_of_one_wire(spark):
+    import random
+
+    r = random.Random(8)
+    base = [[f"b{k}w{r.randrange(900)}" for _ in range(r.randint(100, 160))] for k in range(4)]
+    docs = []
+    for i in range(48):
+        w = list(base[i % 4])
+        cut = r.randrange(0, len(w) // 2)
+        w[:cut] = [f"own{r.randrange(10**6)}" for _ in range(r.choice([cut, cut // 2]))]
+        docs.append((i, 1000 * (i % 9), " ".join(w), r.choice(["A", "B", None])))
+    df = spark.createDataFrame(docs, "id long, created long, t string, wire string")
+    sh = dedup.shingled(df, "id", F.col("t")).join(df.select("id", "created", "wire"), "id")
+    sets = {i: (at, wire, {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)}) for i, at, t, wire in docs if len(t.split()) >= 80}
+    want, lower = set(), 0
+    for a, (ta, wa, x) in sets.items():
+        for b, (tb, wb, y) in sets.items():
+            o = len(x & y)
+            usual = 5 * o >= 4 * len(x | y) or 20 * o >= 17 * min(len(x), len(y))
+            wired = wa is not None and wa == wb and (2 * o >= len(x | y) or 2 * o >= min(len(x), len(y)))
+            if (tb, b) < (ta, a) and (usual or wired):
+                want.add((a, b, o))
+                lower += not usual
+    assert {(m.id, m.of, m.shared) for m in dedup.matches(sh).collect()} == want and lower > 10
+    assert len(want) - lower == dedup.matches(sh.drop("wire")).count()
+
+
+def test_wires_of_the_queries(spark, tmp_path):
+    from pressloom.plans import catalog
+
+    own, body = _doc(10**6, 5000, 40), _doc(10**6, 0, 80)
+    rows = [(1, "t", f"(Quarrel Wire) {body} {own}"), (2, "t", f"(QUARREL WIRE) {body} {_doc(10**6, 9000, 40)}"), (3, "t", f"(Longacre Wire) {body} {_doc(10**6, 7000, 40)}")]
+    spark.createDataFrame(rows, "id long, title string, body_excerpt string").write.parquet(f"{tmp_path}/classify_cluster.parquet")
+    spark.createDataFrame([(i, 100 * i) for i in (1, 2, 3)], "source_id long, created long").write.parquet(f"{tmp_path}/cards.parquet")
+    for q in ("dedup_matches", "dedup_estimates"):
+        assert [(m.id, m.of) for m in catalog.queries()[q](spark, str(tmp_path)).collect()] == [(2, 1)]
+
+
 def test_signature_estimates(spark):
     a, b = _doc(10**6), _doc(10**6, 20)
     df = spark.createDataFrame([(1, a), (2, b), (3, a.upper()), (4, "too few words"), (5, None)], "id long, t string")
