@@ -204,7 +204,7 @@ class Hasher:
 
 def _tokens(text: str) -> list[str]:
     out = []
-    for i, t in enumerate(_TOKEN.findall(text[:4000] if len(text) > 1_000_000 else text)):
+    for i, t in enumerate(_TOKEN.findall(text)):
         if t[0].isdigit():
             out.append("9")
         elif i and t[0].isupper():

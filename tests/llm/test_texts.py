@@ -157,3 +157,12 @@ def test_held_out_labels(spark):
     f = tq.figures([r.text or "" for r in held], m)
     right = sum((r.kind == "prose") == (p >= 0.5) for r, p in zip(held, f["prose_share"]))
     assert right / len(held) > 0.95
+
+
+def test_long_lines_count_whole():
+    line = "word " * 200_001 + "Last 7"
+    got = bp._tokens(line)
+    assert len(line) > 1_000_000 and len(got) == 200_003 and got[-2:] == ["X", "9"]
+    h = bp.Hasher(20)
+    a, b = (bp.page_features([("", "", "word " * 200_001 + end)], "", h, False)[0] for end in ("alpha", "beta"))
+    assert h("alpha") in a and h("alpha") not in b
