@@ -378,7 +378,7 @@ def _(spark, d):
 
 @query("text_redacted")
 def _(spark, d):
-    i = views.once(table(spark, d, "ingestion_engine"), "item_id").join(views.once(table(spark, d, "feeds"), "feed_id").select("feed_id", "outlet"), "feed_id")
+    i = views.once(table(spark, d, "ingestion_engine"), "item_id").join(views.once(table(spark, d, "feeds"), "feed_id").select("feed_id", "outlet"), "feed_id", "left")
     return i.select("item_id", text.redact_by(F.col("body"), F.col("outlet")).alias("body"))
 
 

@@ -133,6 +133,15 @@ def test_wires_of_the_queries(spark, tmp_path):
         assert [(m.id, m.of) for m in catalog.queries()[q](spark, str(tmp_path)).collect()] == [(2, 1)]
 
 
+def test_redacted_keeps_items_without_feed(spark, tmp_path):
+    from pressloom.plans import catalog
+
+    spark.createDataFrame([(1, 7, "The Daily Gull says"), (2, None, "The Daily Gull says"), (3, 9, "none")], "item_id long, feed_id long, body string").write.parquet(f"{tmp_path}/ingestion_engine.parquet")
+    spark.createDataFrame([(7, "Daily Gull"), (None, "says")], "feed_id long, outlet string").write.parquet(f"{tmp_path}/feeds.parquet")
+    got = {r.item_id: r.body for r in catalog.queries()["text_redacted"](spark, str(tmp_path)).collect()}
+    assert got == {1: "The [outlet] says", 2: "The Daily Gull says", 3: "none"}
+
+
 def test_signature_estimates(spark):
     a, b = _doc(10**6), _doc(10**6, 20)
     df = spark.createDataFrame([(1, a), (2, b), (3, a.upper()), (4, "too few words"), (5, None)], "id long, t string")
