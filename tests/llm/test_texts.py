@@ -50,6 +50,26 @@ def test_lost_text_is_found(lost):
     assert hit and not whole
 
 
+@pytest.mark.parametrize("page", ["cp1252", "latin-1"])
+@pytest.mark.parametrize("t", ["😀", "مرحبا بالعالم", "안녕하세요 세계", "日本語のテキスト", "שלום עולם", "ภาษาไทย ไทย", "Tiếng Việt rất đẹp", "Привет мир", "hello 😀 world", "✔ done", "ქართული", "हिन्दी पाठ"])
+def test_any_script_comes_back_whole(page, t):
+    wrong = "".join(chr(b) if page == "cp1252" and b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode(page) for b in t.encode())
+    assert en.examine(f"The old mill. {wrong} then") == (True, f"The old mill. {t} then", True)
+
+
+@pytest.fixture(scope="module")
+def news_model():
+    r = random.Random(2)
+    words = "the mayor council harbour approved rejected plan for schools on Monday see real yes what is this a b x y Java".split()
+    return en.model_of(*en.counts([" ".join(r.choices(words, k=40)).capitalize() + "." for _ in range(300)] + FAIR * 3))
+
+
+@pytest.mark.parametrize("t", ["col·lecció", "x±y", "JavaÉcole", "Æ100", "see a?b", "Is this real?yes", "paral·lel i col·lecció de l’Àngel", "2 × 3 ± 4 ≠ 5 ≤ 6", "Ђорђе и Љиљана", "Þórður býr á Íslandi, ð og æ", "Tiếng Việt rất đẹp và dễ hiểu", "łódź ŻÓŁĆ"])
+def test_proper_signs_stay(t, news_model):
+    assert en.examine(t, news_model)[:2] == (False, t)
+    assert en.examine(t)[:2] == (False, t)
+
+
 @pytest.mark.parametrize("t", TRAPS)
 def test_fair_text_stays(t):
     assert en.examine(t)[0] is False and en.examine(t)[1] == t
