@@ -1,28 +1,30 @@
-"""The main text of web pages by a maximum-scoring stretch of lines (problem 5).
+"""The main text of web pages by maximum-scoring stretches of their words and tags (problem 5).
 
-Every line gets a score, the sum of the weights of its words, shape, tag and neighbours; article words weigh positive, tags and furniture
-negative. The weights are the log-odds of a logistic regression fitted to labelled pages: pages whose own class names tell what a line
-is, and a short list of lines labelled by hand. A linear scan finds the stretch of lines with the largest sum of scores; within it,
-lines that score below zero (captions, adverts, links to other articles) are left out. Another stretch counts too where it scores
-high by itself, as an article may be parted by a long block of links.
+A page is read as one sequence of tokens: for every line its tag (with the shape of the line and where it stands) and then its words and
+signs. Each token has a weight, fitted to labelled pages: words of articles weigh positive, tags and words of page furniture negative.
+A linear scan finds the stretches of the sequence with the largest sum of weights, where every break costs as much as `Spec.cost`: so an
+article is one stretch unless what parts it is a block of furniture that weighs more than the breaks, and a single article-like line
+among menus isn't a stretch. The lines of the stretches are the article; no line is judged by itself.
 
-Two models are fitted, with and without tags, as some bodies are plain text. The sample of labelled pages is bounded by
-`Spec.pages`; scoring covers every page.
+The weights are the log-odds of a logistic regression over hashed tokens, fitted to pages whose own class names tell what a line is, and
+a short list of lines labelled by hand. Two sets are fitted, with and without tags, as some bodies are plain text. The sample of labelled
+pages is bounded by `Spec.pages`; the scan covers every page and every word. Batches of pages are scanned in lockstep.
 """
 
 from __future__ import annotations
 
 import html
 import re
-import zlib
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.llm import flat
+
 #: Class names that tell what a line is (fixed values).
 ARTICLE = {"article-text", "article-body", "article", "story-body", "entry-content", "post-content"}
 FURNITURE = {
@@ -157,189 +159,298 @@ A câmara aprovou na segunda-feira o orçamento, segundo o autarca.""".split("\n
 
 @dataclass(frozen=True)
 class Spec:
-    """pages: most labelled pages to learn from; bits: hashed weights; clip: most a line adds to or takes from a stretch;
-    alone: score from which a stretch counts beside the best one."""
+    """pages: most labelled pages to learn from; bits: hashed weights; clip: most a line adds to or takes from a stretch; cost: what the
+    start of a stretch and its end cost each."""
 
     pages: int = 1500
-    bits: int = 17
-    rounds: int = 200
-    decay: float = 3e-4
-    clip: float = 3.0
-    alone: float = 2.9
+    bits: int = 18
+    epochs: int = 20
+    batches: int = 16
+    rate: float = 0.15
+    decay: float = 2e-5
+    clip: float = 6.0
+    cost: float = 0.7
     seed: int = 5
 
 
-_TAG = re.compile(r"^\s*<([a-zA-Z][a-zA-Z0-9]*)([^>]*)>")
+_TAG = re.compile(r"\s*<([a-zA-Z][a-zA-Z0-9]*)([^>]*)>")
 _ANYTAG = re.compile(r"<[^>]*>")
 _CLASS = re.compile(r"class\s*=\s*[\"']([^\"']*)[\"']")
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d[\d.,:]*|[^\w\s]")
-_SEPARATOR = re.compile(r" [|·>] ")
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def split_line(line: str) -> tuple[str, str, str]:
     """(tag, class, text) of a line; tag is empty for plain text."""
+    if "<" not in line:
+        return "", "", (html.unescape(line) if "&" in line else line).strip()
     m = _TAG.match(line)
-    if not m:
-        return "", "", line.strip()
-    c = _CLASS.search(m.group(2))
-    return m.group(1).lower(), c.group(1).strip() if c else "", html.unescape(_ANYTAG.sub("", line)).strip()
-
-
-def _bucket(n: int) -> str:
-    return str(n) if n < 4 else "s" if n < 8 else "m" if n < 16 else "l" if n < 40 else "x"
-
-
-class Hasher:
-    def __init__(self, bits: int) -> None:
-        self.mask, self.memo = (1 << bits) - 1, {}
-
-    def __call__(self, s: str) -> int:
-        h = self.memo.get(s)
-        if h is None:
-            h = zlib.crc32(s.encode()) & self.mask
-            if len(self.memo) < 500_000:
-                self.memo[s] = h
-        return h
-
-
-def _tokens(text: str) -> list[str]:
-    out = []
-    for i, t in enumerate(_TOKEN.findall(text)):
-        if t[0].isdigit():
-            out.append("9")
-        elif i and t[0].isupper():
-            out.append("X")
-        else:
-            out.append(t.lower())
-    return out
-
-
-def page_features(lines: Sequence[tuple[str, str, str]], title: str, h: Hasher, tags: bool) -> list[np.ndarray]:
-    """Feature indexes of each non-blank line."""
-    toks = [_tokens(t) for _, _, t in lines]
-    name = " ".join(title.split()).casefold() if title else None
-    brief = []
-    for (tag, _, text), tk in zip(lines, toks):
-        sep = len(_SEPARATOR.findall(text))
-        brief.append((tag if tags else "", text[-1:] if not text[-1:].isalnum() else "a", _bucket(len(tk)), min(sep, 3), " ".join(tk[:2])))
-    out, n = [], len(lines)
-    head, since = "^", 0
-    for i, ((tag, cls, text), tk) in enumerate(zip(lines, toks)):
-        b = brief[i]
-        f = {h("bias")}
-        f.update(h(t) for t in tk)
-        f.update(h(f"{x} {y}") for x, y in zip(tk, tk[1:]))
-        f.update(h(x) for x in (f"t:{b[0]}", f"e:{b[1]}", f"n:{b[2]}", f"s:{b[3]}", f"f:{b[4]}", f"l:{' '.join(tk[-3:])}", f"tn:{b[0]}{b[2]}{b[1]}", f"te:{b[0]}{b[1]}{b[3]}"))
-        if len(tk) <= 12:
-            f.add(h("w:" + " ".join(tk)))
-        if text[:1] in "{}.!" or text.endswith((";", "}", ")")) and re.search(r"[=({]", text) and re.search(r"[{}()\[\]]", text):
-            f.add(h("code"))
-        if name and " ".join(text.split()).casefold() == name:
-            f.add(h("title"))
-        p = brief[i - 1] if i else ("^",) * 5
-        q = brief[i + 1] if i + 1 < n else ("$",) * 5
-        f.update(h(x) for x in (f"p:{p[0]}{p[1]}{p[2]}", f"pf:{p[4]}", f"q:{q[0]}{q[1]}{q[2]}", f"qf:{q[4]}", f"pq:{p[1]}{p[2]}|{b[1]}{b[2]}|{q[1]}{q[2]}"))
-        f.update(h(x) for x in (f"at:{_bucket(i)}", f"to:{_bucket(n - i - 1)}"))
-        # the heading above and how far it is; whether the line looks made like its neighbours
-        f.update(h(x) for x in (f"h:{head}", f"h:{head}{min(since, 6)}{b[2]}{b[1]}"))
-        if tags:
-            up, down = i > 0 and lines[i - 1][:2] == (tag, cls), i + 1 < n and lines[i + 1][:2] == (tag, cls)
-            f.add(h(f"like:{up}{down}{tag}"))
-        since += 1
-        if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and tags or len(tk) <= 5 and text[-1:].isalpha():
-            head, since = " ".join(tk[:5]), 0
-        out.append(np.fromiter(f, np.int64, len(f)))
-    return out
-
-
-def page_lines(body: str) -> list[tuple[int, tuple[str, str, str]]]:
-    """(number, line) of the non-blank lines."""
-    return [(i, split_line(x)) for i, x in enumerate((body or "").split("\n"), 1) if x.strip()]
-
-
-def label(cls: str) -> int | None:
-    names = set(cls.lower().split())
-    return 1 if names & ARTICLE else 0 if names & FURNITURE else None
+    c = _CLASS.search(m.group(2)) if m else None
+    text = _ANYTAG.sub("", line)
+    return m.group(1).lower() if m else "", c.group(1).strip() if c else "", (html.unescape(text) if "&" in text else text).strip()
 
 
-def fit(rows: Sequence[np.ndarray], y: np.ndarray, spec: Spec) -> np.ndarray:
-    """Logistic regression over hashed features by full-batch Adagrad; classes weigh alike."""
+def label(cls: str) -> int:
+    """1 article, 0 furniture, -1 unknown."""
+    names = set(cls.lower().split())
+    return 1 if names & ARTICLE else 0 if names & FURNITURE else -1
+
+
+@dataclass
+class Lines:
+    """The non-blank lines of a batch of pages: the page, number, tag, class and text of each."""
+
+    page: list[int] = field(default_factory=list)
+    number: list[int] = field(default_factory=list)
+    tag: list[str] = field(default_factory=list)
+    cls: list[str] = field(default_factory=list)
+    text: list[str] = field(default_factory=list)
+    titled: list[bool] = field(default_factory=list)
+
+    def add(self, page: int, title: str | None, body: str | None) -> None:
+        name = " ".join((title or "").split()).casefold()
+        for i, line in enumerate((body or "").split("\n"), 1):
+            if line and not line.isspace():
+                tag, cls, text = split_line(line)
+                self.page.append(page)
+                self.number.append(i)
+                self.tag.append(tag)
+                self.cls.append(cls)
+                self.text.append(text)
+                self.titled.append(bool(name) and abs(len(text) - len(name)) < 8 and " ".join(text.split()).casefold() == name)
+
+
+# --- tokens and their features ------------------------------------------------------------------------------------------------------
+
+NUMBER, CAPITAL, NONE = (np.uint64(x) for x in (0xD1B54A32D192ED03, 0xAEF17502108EF2D9, 0x8CB92BA72F3D8DD7))
+
+
+def _salted(kind: int, *parts) -> np.ndarray:
+    """A hash of the parts under a kind of feature."""
+    h = np.full(1, kind * 2 + 1, np.uint64)
+    for p in parts:
+        h = flat.mix(np.asarray(p).astype(np.uint64) + h * np.uint64(flat.BASE))
+    return h
+
+
+def _words_of(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """(hash of each token, its line, figures per line). Numbers are one token, and so are capitalized words that don't begin a line."""
+    cls_of, low_of = flat.char_tables()
+    cp = np.frombuffer(("\n".join(t.replace("\n", " ") for t in texts) + "\n").encode("utf-32-le", "replace"), np.uint32)
+    small = np.minimum(cp, 0xFFFF)
+    low = low_of[small]
+    kind = np.array([3, 0, 2, 1, 1, 1], np.uint8)[cls_of[small]]  # letters 1, digits 2, space 0, signs 3
+    kind[cp >= 0x20000] = 1
+    before, after = np.r_[kind[:1], kind[:-1]], np.r_[kind[1:], kind[-1:]]
+    kind[((cp == 39) | (cp == 0x2019)) & (before == 1) & (after == 1)] = 1
+    kind[((cp == 44) | (cp == 46) | (cp == 58)) & (before == 2) & (after == 2)] = 2
+    newline = cp == 10
+    end = np.flatnonzero(newline)
+    begin = np.r_[0, end[:-1] + 1]
+    edge = np.r_[True, kind[1:] != kind[:-1]] | (kind == 3)
+    start = np.flatnonzero(edge & (kind != 0))
+    # a token ends where the next edge is
+    edges = np.r_[np.flatnonzero(edge), len(cp)]
+    stop = edges[np.searchsorted(edges, start, "right")]
+    line = np.searchsorted(end, start)
+    h = flat.span_hash(low + np.uint32(1), start, stop)
+    h[kind[start] == 2] = NUMBER
+    n = np.bincount(line, minlength=len(texts))
+    first = np.cumsum(n) - n
+    inner = np.ones(len(h), bool)
+    inner[first[n > 0]] = False
+    h[inner & (cls_of[small[start]] == 4)] = CAPITAL
+    total = lambda m: np.diff(np.r_[0, np.cumsum(m)][np.r_[begin, end[-1] + 1]]) if len(end) else np.zeros(0, np.int64)
+    spaced = np.r_[False, (cp[:-2] == 32) & np.isin(cp[1:-1], (124, 0xB7, 62)) & (cp[2:] == 32), False] if len(cp) > 2 else np.zeros(len(cp), bool)
+    one = lambda at: cp[np.clip(at, 0, max(0, len(cp) - 1))]
+    last, head = one(end - 1), one(begin)
+    lettered = np.isin(cls_of[np.minimum(last, 0xFFFF)], (2, 3, 4, 5))
+    alpha = lettered & (cls_of[np.minimum(last, 0xFFFF)] > 2)
+    opens = total(np.isin(cp, [ord(c) for c in "=({"])) > 0
+    code = opens & (total(np.isin(cp, [ord(c) for c in "{}[]()"])) > 0) & (np.isin(head, [ord(c) for c in "{}.!"]) | np.isin(last, [ord(c) for c in ";})"]))
+    return h, line, {"n": n, "first": first, "separators": np.minimum(total(spaced), 3), "end": np.where(lettered, 97, last), "alpha": alpha, "code": code}
+
+
+def features(x: Lines, bits: int, tags: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(line, place) of the features of words, and a matrix of those of tags, a row per line, whose first columns need no neighbours."""
+    h, line, s = _words_of(x.text)
+    n, first, m = s["n"], s["first"], len(x.text)
+    mask = np.uint64((1 << bits) - 1)
+    at = lambda k: h[np.clip(first + k, 0, max(0, len(h) - 1))] if len(h) else np.zeros(m, np.uint64)
+    nth = lambda k: np.where(n > k, at(k), NONE)
+    back = lambda k: np.where(n > k, at(n - 1 - k), NONE)
+    pair = np.flatnonzero(line[1:] == line[:-1])
+    places = np.r_[_salted(1, h), _salted(2, h[:-1][pair], h[1:][pair])] & mask
+    lines = np.r_[line, line[1:][pair]]
+    tag = _named(x.tag) if tags else np.zeros(m, np.uint64)
+    size = np.where(n < 4, n, np.digitize(n, (8, 16, 40)) + 4)
+    whole = np.where(n <= 12, flat.span_hash(h, first, first + n), NONE) if len(h) else np.full(m, NONE)
+    end, sep = s["end"], s["separators"]
+    two = _salted(3, nth(0), nth(1))
+    three = _salted(4, back(0), back(1), back(2))
+    own = [_salted(5, whole), two, three, _salted(6, end), _salted(7, sep), _salted(8, s["code"])]
+    page = np.array(x.page, np.int64)
+    same_up = np.r_[False, page[1:] == page[:-1]]
+    same_down = np.r_[same_up[1:], False]
+    up = lambda v, d: np.where(same_up, np.r_[v[:1], v[:-1]], np.uint64(d))
+    down = lambda v, d: np.where(same_down, np.r_[v[1:], v[-1:]], np.uint64(d))
+    shape = _salted(9, tag, end, size)
+    rank = np.arange(m) - np.maximum.accumulate(np.where(same_up, 0, np.arange(m)))
+    togo = (np.minimum.accumulate(np.where(same_down, m, np.arange(m))[::-1])[::-1] - np.arange(m)) if m else rank
+    near = lambda v: np.where(v < 4, v, np.digitize(v, (8, 16, 40)) + 4)
+    heading = np.array([tags and t in HEADINGS for t in x.tag], bool) | (n <= 5) & s["alpha"]
+    above = np.maximum.accumulate(np.where(heading, np.arange(m), -1))
+    above = np.r_[-1, above[:-1]] if m else above
+    known = (above >= 0) & (page[np.maximum(above, 0)] == page)
+    title = np.where(known, _salted(10, nth(0), nth(1), nth(2), nth(3), nth(4))[np.maximum(above, 0)], NONE) if m else np.zeros(0, np.uint64)
+    since = np.where(known, np.arange(m) - above, rank)
+    look = _salted(11, tag, _named(x.cls)) if tags else np.zeros(m, np.uint64)
+    like = (up(look, 0) == look) * 2 + (down(look, 0) == look) if tags else np.zeros(m, np.int64)
+    placed = [
+        _salted(12, tag), _salted(13, size), shape, _salted(14, tag, end, sep), _salted(15, x.titled), _salted(16, up(shape, 1)), _salted(17, down(shape, 2)), _salted(18, up(two, 1)), _salted(19, down(two, 2)),
+        _salted(20, up(size.astype(np.uint64), 9), up(end.astype(np.uint64), 9), size, end, down(size.astype(np.uint64), 9), down(end.astype(np.uint64), 9)),
+        _salted(21, near(rank)), _salted(22, near(togo)), _salted(23, title), _salted(24, title, np.minimum(since, 6), size, end), _salted(25, like, tag), _salted(26, np.zeros(m)),
+    ]
+    return lines, places.astype(np.int64), (np.column_stack([*own, *placed]) & mask).astype(np.int64), len(own)
+
+
+def _named(words: Sequence[str]) -> np.ndarray:
+    """A hash of each of some short strings, most of them the same."""
+    every = sorted(set(words))
+    code = {w: i for i, w in enumerate(every)}
+    return flat.span_hash(*_codes(every))[np.array([code[w] for w in words], np.int64)] if every else np.zeros(0, np.uint64)
+
+
+def _codes(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cp = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32) + np.uint32(1)
+    n = np.array([len(w) for w in words], np.int64)
+    end = np.cumsum(n)
+    return cp, end - n, end
+
+
+# --- weights ------------------------------------------------------------------------------------------------------------------------
+
+
+def fit(rows: np.ndarray, places: np.ndarray, y: np.ndarray, spec: Spec) -> np.ndarray:
+    """Logistic regression over hashed features, (row, place) sorted by row, by Adagrad over a few batches; classes weigh alike."""
     w = np.zeros(1 << spec.bits)
-    if not len(rows) or not (0 < y.sum() < len(y)):
+    if not len(y) or not (0 < y.sum() < len(y)):
         return w.astype(np.float32)
-    idx = np.concatenate(rows)
-    ptr = np.r_[0, np.cumsum([len(r) for r in rows])]
-    row = np.repeat(np.arange(len(rows)), np.diff(ptr))
     cost = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    g2 = np.full(len(w), 1e-8)
-    for _ in range(spec.rounds):
-        z = np.add.reduceat(w[idx], ptr[:-1])
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        g = np.bincount(idx, ((p - y) * cost)[row], len(w)) / len(y) + spec.decay * w / 100
-        g2 += g * g
-        w -= 0.3 * g / np.sqrt(g2)
+    g2 = np.full(len(w), 1e-6)
+    # rows are dealt to batches by a hash, the same on every run
+    part = (flat.mix(np.arange(len(y)).astype(np.uint64)) % np.uint64(spec.batches)).astype(np.int64)
+    of = part[rows]
+    sets = []
+    for b in range(spec.batches):
+        mine = np.flatnonzero(of == b)
+        ids, local = np.unique(rows[mine], return_inverse=True)
+        sets.append((ids, local, places[mine]))
+    for _ in range(spec.epochs):
+        for ids, local, idx in sets:
+            if not len(ids):
+                continue
+            z = np.bincount(local, w[idx], len(ids))
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            g = np.bincount(idx, ((p - y[ids]) * cost[ids])[local], len(w)) / len(ids) + spec.decay * w
+            g2 += g * g
+            w -= spec.rate * g / np.sqrt(g2)
     return w.astype(np.float32)
 
 
 def learn(pages: Sequence[tuple[str, str]], spec: Spec) -> tuple[np.ndarray, np.ndarray]:
     """Weights with and without tags from (title, body) of labelled pages."""
-    h = Hasher(spec.bits)
-    seeds = [(t, 0) for t in NO] + [(t, 1) for t in YES]
+    x = Lines()
+    for i, (title, body) in enumerate(pages):
+        x.add(i, title, body)
+    seeds = Lines()
+    for i, t in enumerate([*NO, *YES] * 2):
+        seeds.add(i, None, t)
+    told = np.array([label(c) for c in x.cls], np.int64) if x.cls else np.zeros(0, np.int64)
+    hand = np.array([k for k, ls in ((0, NO), (1, YES)) for _ in ls] * 2)
     models = []
     for tags in (True, False):
-        rows, y = [], []
-        for title, body in pages:
-            ls = [x for _, x in page_lines(body)]
-            for f, (_, cls, _) in zip(page_features(ls, title, h, tags), ls):
-                if (k := label(cls)) is not None:
-                    rows.append(f), y.append(k)
-        for t, k in seeds:
-            # a line labelled by hand has no neighbours: only its own features count
-            tk = _tokens(t)
-            own = {h(x) for x in [*tk, *(f"{a} {b}" for a, b in zip(tk, tk[1:])), "w:" + " ".join(tk), f"f:{' '.join(tk[:2])}", f"l:{' '.join(tk[-3:])}", f"e:{t[-1] if not t[-1].isalnum() else 'a'}", f"s:{min(len(_SEPARATOR.findall(t)), 3)}"]}
-            if re.search(r"[{}=]", t):
-                own.add(h("code"))
-            rows += [np.fromiter(own, np.int64, len(own))] * 2
-            y += [k] * 2
-        models.append(fit(rows, np.asarray(y, float), spec))
+        rows, places, y, base = [], [], [], 0
+        # a line labelled by hand has no neighbours: only its own features count
+        for part, label_, own_only in ((x, told, False), (seeds, hand, True)):
+            if not part.text:
+                continue
+            ln, at, grid, own = features(part, spec.bits, tags)
+            grid = grid[:, :own] if own_only else grid
+            keep = label_ >= 0
+            new = np.cumsum(keep) - 1 + base
+            ln, at = np.r_[ln, np.repeat(np.arange(len(grid)), grid.shape[1])], np.r_[at, grid.ravel()]
+            ok = keep[ln]
+            rows.append(new[ln[ok]])
+            places.append(at[ok])
+            y.append(label_[keep])
+            base += int(keep.sum())
+        rows_, places_ = np.concatenate(rows), np.concatenate(places)
+        order = np.argsort(rows_, kind="stable")
+        models.append(fit(rows_[order], places_[order], np.concatenate(y).astype(float), spec))
     return models[0], models[1]
 
 
-def stretches(score: np.ndarray, clip: float, alone: float) -> np.ndarray:
-    """Lines in the best stretch, or in another that scores at least `alone`: all maximal stretches by one scan each."""
-    s = np.clip(score, -clip, clip)
-    keep = np.zeros(len(s), bool)
-    todo, first = [(0, len(s))], True
-    while todo:
-        a, b = todo.pop()
-        if a >= b:
-            continue
-        best, lo, hi, run, at = -1e9, a, a, 0.0, a
-        for i in range(a, b):
-            if run <= 0:
-                run, at = 0.0, i
-            run += s[i]
-            if run > best:
-                best, lo, hi = run, at, i + 1
-        if best <= 0 or not first and best < alone:
-            continue
-        first = False
-        keep[lo:hi] = True
-        todo += [(hi, b), (a, lo)]
+# --- the scan -----------------------------------------------------------------------------------------------------------------------
+
+
+def stretches(page: np.ndarray, score: np.ndarray, cost: float) -> np.ndarray:
+    """Lines in the set of stretches with the largest sum of scores less `cost` for every start and end, for all pages at once.
+
+    page: the page of each line, pages in a row. One pass forward and one back: step t takes the t-th line of every page that has one.
+    """
+    m = len(score)
+    keep = np.zeros(m, bool)
+    if not m:
+        return keep
+    head = np.flatnonzero(np.r_[True, page[1:] != page[:-1]])
+    size = np.diff(np.r_[head, m])
+    order = np.argsort(-size, kind="stable")
+    head, size = head[order], size[order]
+    live = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
+    # best sums with the line just read inside and outside; whether they stay on the side they were on
+    inside, outside = np.full(len(head), -np.inf), np.zeros(len(head))
+    stay_in, stay_out = np.zeros(m, bool), np.zeros(m, bool)
+    for t in range(size[0]):
+        k, at = live[t], head[: live[t]] + t
+        a, b = inside[:k], outside[:k]
+        stay_in[at], stay_out[at] = a >= b - cost, b >= a - cost
+        inside[:k], outside[:k] = np.maximum(a, b - cost) + score[at], np.maximum(b, a - cost)
+    now = np.zeros(len(head), bool)
+    for t in range(size[0] - 1, -1, -1):
+        k, at = live[t], head[: live[t]] + t
+        last = size[:k] == t + 1
+        # the end of the page ends a stretch for nothing
+        now[:k] = np.where(last, inside[:k] > outside[:k], now[:k])
+        keep[at] = now[:k]
+        now[:k] = np.where(now[:k], stay_in[at], ~stay_out[at])
     return keep
 
 
-def article_lines(title: str | None, body: str | None, method: str | None, models: tuple[np.ndarray, np.ndarray], h: Hasher, spec: Spec) -> list[int]:
-    ls = page_lines(body or "")
-    if not ls:
-        return []
-    if method == "abstract":
-        return [i for i, _ in ls]
-    tagged = sum(1 for _, x in ls if x[0]) * 2 > len(ls)
-    w = models[0 if tagged else 1]
-    score = np.array([w[f].sum() for f in page_features([x for _, x in ls], title or "", h, tagged)])
-    keep = stretches(score, spec.clip, spec.alone) & (score > 0)
-    return [i for (i, _), k in zip(ls, keep) if k]
+def scores(x: Lines, models: tuple[np.ndarray, np.ndarray], spec: Spec) -> np.ndarray:
+    """The sum of the weights of each line's tag and words; pages of which most lines have no tag are read as plain text."""
+    page = np.array(x.page, np.int64)
+    tagged = np.array([bool(t) for t in x.tag])
+    some = np.bincount(page, tagged) * 2 > np.bincount(page) if len(page) else np.zeros(0, bool)
+    total = np.zeros(len(page))
+    for tags, w in zip((True, False), models):
+        mine = np.flatnonzero(some[page] == tags) if len(page) else page
+        if len(mine):
+            part = Lines(*([v[i] for i in mine] for v in (x.page, x.number, x.tag, x.cls, x.text, x.titled)))
+            ln, at, grid, _ = features(part, spec.bits, tags)
+            total[mine] = np.bincount(ln, w[at], len(mine)) + w[grid].sum(1)
+    return np.clip(total, -spec.clip, spec.clip)
+
+
+def article_lines(pages: Sequence[tuple[str | None, str | None, str | None]], models: tuple[np.ndarray, np.ndarray], spec: Spec) -> tuple[np.ndarray, np.ndarray]:
+    """(page, line number) of the article's lines. pages: title, body, method; an abstract is an article as a whole."""
+    x = Lines()
+    for i, (title, body, _) in enumerate(pages):
+        x.add(i, title, body)
+    page, number = np.array(x.page, np.int64), np.array(x.number, np.int64)
+    whole = np.array([m == "abstract" for _, _, m in pages], bool)
+    keep = stretches(page, scores(x, models, spec), spec.cost)
+    keep |= whole[page] if len(page) else False
+    return page[keep], number[keep]
 
 
 def labelled_pages(df: DataFrame, spec: Spec) -> list[tuple[str, str]]:
@@ -359,14 +470,11 @@ def main_lines(df: DataFrame, spec: Spec = Spec()) -> DataFrame:
     models = learn(labelled_pages(src, spec), spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = Hasher(spec.bits)
         for b in batches:
-            ids, no = [], []
-            for k, title, body, method in zip(*(c.to_pylist() for c in b.columns)):
-                got = article_lines(title, body, method, models, h, spec)
-                ids += [k] * len(got)
-                no += got
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no, pa.int32())], ["item_id", "line_no"])
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            for s, e, part in flat.text_pieces(b.column(2)):
+                page, number = article_lines(list(zip(b.column(1).slice(s, e - s).to_pylist(), part.to_pylist(), b.column(3).slice(s, e - s).to_pylist())), models, spec)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s + page]), pa.array(number.astype(np.int32))], ["item_id", "line_no"])
 
     return src.mapInArrow(run, "item_id long, line_no int").distinct()
 

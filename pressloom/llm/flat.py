@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -76,3 +79,17 @@ def words_between(b: np.ndarray, off: np.ndarray, separators: bytes = b" \n") ->
     start = np.flatnonzero(keep & (edge | ~before))
     end = np.flatnonzero(before & (edge | ~keep))
     return start, end, np.searchsorted(start, off)
+
+
+@lru_cache(1)
+def char_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class of each BMP character (0 other, 1 space, 2 digit, 3 small letter, 4 capital, 5 other letter or mark) and its lower case."""
+    cls = np.zeros(0x10000, np.uint8)
+    low = np.arange(0x10000, dtype=np.uint32)
+    for i in range(0x10000):
+        c = chr(i)
+        k = unicodedata.category(c)
+        cls[i] = 1 if c.isspace() else 2 if k[0] == "N" else 3 if k == "Ll" else 4 if k in ("Lu", "Lt") else 5 if k[0] in "LM" else 0
+        if k in ("Lu", "Lt") and len(x := c.lower()) == 1:
+            low[i] = ord(x)
+    return cls, low

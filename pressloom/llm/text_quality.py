@@ -15,7 +15,6 @@ Characters are compared by code point; a null text is blank. A blank text, or on
 from __future__ import annotations
 
 import textwrap
-import unicodedata
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
@@ -53,20 +52,6 @@ class Spec:
     seed: int = 3
 
 
-@lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Class of each BMP character (0 other, 1 space, 2 digit, 3 small letter, 4 capital, 5 other letter or mark) and its lower case."""
-    cls = np.zeros(0x10000, np.uint8)
-    low = np.arange(0x10000, dtype=np.uint32)
-    for i in range(0x10000):
-        c = chr(i)
-        k = unicodedata.category(c)
-        cls[i] = 1 if c.isspace() else 2 if k[0] == "N" else 3 if k == "Ll" else 4 if k in ("Lu", "Lt") else 5 if k[0] in "LM" else 0
-        if k in ("Lu", "Lt") and len(x := c.lower()) == 1:
-            low[i] = ord(x)
-    return cls, low
-
-
 def _word_hash(words: Sequence[str]) -> np.ndarray:
     cp = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
     n = np.array([len(w) for w in words])
@@ -84,7 +69,7 @@ STATS = ("chars", "letters", "capitals", "digits", "signs", "words", "wordchars"
 
 def line_stats(texts: Sequence[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """(document of each non-blank line, its statistics)."""
-    cls_of, low_of = _tables()
+    cls_of, low_of = flat.char_tables()
     joined = "\n".join(texts) + "\n"
     cp = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
     small = np.minimum(cp, 0xFFFF)

@@ -102,10 +102,10 @@ def test_main_lines_of_held_out_pages(tags):
     pages = [_page(r) for _ in range(60)]
     spec = bp.Spec(bits=14)
     models = bp.learn([(t, "\n".join(ls)) for t, ls, _ in pages[:40]], spec)
-    h, right, all_ = bp.Hasher(spec.bits), 0, 0
+    right = all_ = 0
     for t, ls, y in pages[40:]:
         bare = ls if tags else [bp.split_line(x)[2] for x in ls]
-        got = set(bp.article_lines(t, "\n".join(bare), "page", models, h, spec))
+        got = set(bp.article_lines([(t, "\n".join(bare), "page")], models, spec)[1].tolist())
         assert all(ls[i - 1].strip() for i in got)
         right += sum((i in got) == bool(v) for i, v in enumerate(y, 1))
         all_ += len(y)
@@ -119,7 +119,47 @@ def test_main_lines_edges(spark):
     assert [x for x in got if x[0] == 1] == [(1, 1), (1, 3)] and {x[0] for x in got} <= {1, 4}
     assert {r.item_id: r.text for r in bp.main_text(df).collect()}[1] == "One line.\nTwo."
     assert bp.main_lines(df.limit(0)).count() == 0
-    assert bp.stretches(bp.np.array([-1.0, 3, -1, 3, -9, 1, -9, 4]), 3, 2.9).tolist() == [False, True, True, True, False, False, False, True]
+
+
+def test_stretches():
+    keep = lambda s, cost: bp.stretches(bp.np.zeros(len(s), int), bp.np.array(s, float), cost).astype(int).tolist()
+    # a break costs two, a stretch at the edge of the page one
+    assert keep([-1, 3, -1, 3, -9, 1, -9, 4], 1.0) == [0, 1, 1, 1, 0, 0, 0, 1]
+    assert keep([-1, 3, -1, 3, -9, 1, -9, 4], 0.4) == [0, 1, 0, 1, 0, 1, 0, 1]
+    assert keep([], 1.0) == [] and keep([0.5], 1.0) == [0] and keep([2], 1.0) == [1]
+    r = random.Random(4)
+    for _ in range(200):
+        n, cost = r.randint(1, 9), r.choice([0.3, 1.0, 2.5])
+        s = [round(r.uniform(-3, 3), 2) for _ in range(n)]
+
+        def worth(mask):
+            inside = [mask >> i & 1 for i in range(n)]
+            return sum(v for v, k in zip(s, inside) if k) - cost * (inside[0] + sum(a != b for a, b in zip(inside, inside[1:])))
+
+        got = keep(s, cost)
+        assert abs(worth(sum(k << i for i, k in enumerate(got))) - max(map(worth, range(1 << n)))) < 1e-9
+    # several pages at once, as each by itself
+    pages = [[r.uniform(-3, 3) for _ in range(r.randint(1, 30))] for _ in range(40)]
+    ids = [i for i, p in enumerate(pages) for _ in p]
+    assert bp.stretches(bp.np.array(ids), bp.np.array([v for p in pages for v in p]), 0.7).astype(int).tolist() == [k for p in pages for k in keep(p, 0.7)]
+
+
+def test_a_very_long_line_is_read_to_its_end():
+    r = random.Random(1)
+    pages = [_page(r) for _ in range(60)]
+    spec = bp.Spec(bits=14)
+    models = bp.learn([(t, "\n".join(ls)) for t, ls, _ in pages], spec)
+    menu, news = "Home Sport Weather Jobs ", "The council approved the plan for schools on Monday, a spokesperson said. "
+    for much in (40_000, 60_000):
+        x = bp.Lines()
+        x.add(0, None, news + menu * much)
+        x.add(1, None, menu * much + news)
+        a, b = bp.scores(x, models, bp.Spec(bits=14, clip=1e9))
+        short = bp.Lines()
+        short.add(0, None, news + menu * 20)
+        # what stands at the end weighs as what stands at the beginning, and every word counts
+        assert abs(a - b) < abs(a) * 0.01 and abs(a) > 500 * abs(bp.scores(short, models, bp.Spec(bits=14, clip=1e9))[0])
+
 
 
 @pytest.fixture(scope="module")
@@ -177,12 +217,3 @@ def test_held_out_labels(spark):
     f = tq.figures([r.text or "" for r in held], m)
     right = sum((r.kind == "prose") == (p >= 0.5) for r, p in zip(held, f["prose_share"]))
     assert right / len(held) > 0.95
-
-
-def test_long_lines_count_whole():
-    line = "word " * 200_001 + "Last 7"
-    got = bp._tokens(line)
-    assert len(line) > 1_000_000 and len(got) == 200_003 and got[-2:] == ["X", "9"]
-    h = bp.Hasher(20)
-    a, b = (bp.page_features([("", "", "word " * 200_001 + end)], "", h, False)[0] for end in ("alpha", "beta"))
-    assert h("alpha") in a and h("alpha") not in b
