@@ -6,14 +6,17 @@ Shards by content: the key of a run is the least hash of its `gram`-word pieces
 key, and neighbouring runs mostly share one. A record is cut into segments, stretches of consecutive runs with one key, and a segment
 only goes to the shard of its key. All runs that could match meet there, and the work grows with the text, not with its square.
 
-Before that, keys held by a single record are dropped (they can't match) and equal segments are collapsed into one with the least
-and the greatest id that hold it, so a passage copied into a third of all records is indexed once. A key with very many different
-segments is split: each of its runs becomes a unit of its own, keyed by all its words, and equal runs are collapsed again.
-
-In each shard the units are joined into one text over a dense word alphabet; its Burrows-Wheeler transform is kept as a wavelet
-matrix of packed bits with rank counts. All runs of all units are then searched backwards in lockstep. The matching statistic of a
-position, cut at `run`, falls below the threshold as soon as only the record itself is left in its interval; positions that stay are
-shared if their interval spans two ids.
+Before that, keys held by a single record are dropped (they can't match). Of equal segments two stay, those of the least and of the
+greatest id: what any two records share, these show, so a passage copied into a third of all records is indexed twice, and streamed once.
+A key with very many different segments is split: each of its runs becomes a unit of its own, keyed by all its words, again with two
+copies at most; the index decides on these units as on all others.
+
+In each shard the units are joined into one text over a dense word alphabet. Its index is the Burrows-Wheeler transform as a wavelet
+matrix of packed bits with rank counts, and one more bit for each suffix, set where its record is another one than that of the suffix
+before: an interval of suffixes spans two records if such a bit lies inside. Suffix array and owners are dropped once the bits are set.
+The different units of all records are then streamed through the index: backward search from each word, in lockstep, gives the matching
+statistic of each position, the length of the longest stretch ending there that two records hold. Stretches of at least `run` words are
+reported.
 """
 
 from __future__ import annotations
@@ -137,14 +140,28 @@ UNIT = "key long, u1 long, u2 long, lo long, hi long, s1 long, s2 long, off int,
 UNIT_NAMES = [x.split()[0] for x in UNIT.split(", ")]
 
 
+class Bits:
+    """Packed bits with the number of ones before each word of 64."""
+
+    def __init__(self, bit: np.ndarray) -> None:
+        self.packed = np.packbits(np.r_[bit.astype(np.uint8), np.zeros(-len(bit) % 64 + 64, np.uint8)], bitorder="little").view(np.uint64)
+        self.ones = np.r_[0, np.cumsum(np.bitwise_count(self.packed).astype(np.int32))].astype(np.int32)
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Ones before place i."""
+        word = i >> 6
+        low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.ones[word] + np.bitwise_count(self.packed[word] & low)
+
+
 class FMIndex:
-    """Backward search over a wavelet matrix of the Burrows-Wheeler transform.
+    """Backward search over a wavelet matrix of the Burrows-Wheeler transform, and whether the suffixes of an interval have several owners.
 
-    text holds symbols from 1 on, with 0 after each unit. Suffixes are sorted by their first `depth` symbols, so intervals of
-    patterns shorter than that are exact.
+    text holds symbols from 1 on, with 0 after each unit; owner is a number for each place. Suffixes are sorted by their first `depth`
+    symbols, so intervals of patterns shorter than that are exact.
     """
 
-    def __init__(self, text: np.ndarray, depth: int) -> None:
+    def __init__(self, text: np.ndarray, owner: np.ndarray, depth: int) -> None:
         n = len(text)
         rank, k = text.astype(np.int64), 1
         while k < depth:
@@ -152,26 +169,23 @@ class FMIndex:
             after[: max(0, n - k)] = rank[k:] + 1
             _, rank = np.unique(rank * (max(n, int(rank.max(initial=0))) + 2) + after, return_inverse=True)
             k *= 2
-        self.n, self.sa = n, np.argsort(rank, kind="stable")
+        sa = np.argsort(rank, kind="stable")
         sigma = int(text.max(initial=0)) + 1
         self.count = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))]
-        self.levels, self.zeros = [], []
-        cur = text[self.sa - 1]
+        own = owner[sa]
+        self.change = Bits(np.r_[False, own[1:] != own[:-1]] if n else np.zeros(0, bool))
+        self.levels: list[tuple[Bits, int]] = []
+        cur = text[sa - 1]
         self.bits = max(1, int(sigma - 1).bit_length())
         for level in range(self.bits - 1, -1, -1):
             bit = (cur >> level) & 1
-            packed = np.packbits(np.r_[bit.astype(np.uint8), np.zeros(-n % 64 + 64, np.uint8)], bitorder="little").view(np.uint64)
-            ones = np.r_[0, np.cumsum(np.bitwise_count(packed).astype(np.int64))]
-            self.levels.append((packed, ones))
-            self.zeros.append(int(n - bit.sum()))
+            self.levels.append((Bits(bit), int(n - bit.sum())))
             cur = np.r_[cur[bit == 0], cur[bit == 1]]
         self.start = self._walk(np.arange(sigma), np.zeros(sigma, np.int64))
 
     def _walk(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        for (packed, ones), zeros, level in zip(self.levels, self.zeros, range(self.bits - 1, -1, -1)):
-            word = i >> 6
-            low = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-            r = ones[word] + np.bitwise_count(packed[word] & low)
+        for (bits, zeros), level in zip(self.levels, range(self.bits - 1, -1, -1)):
+            r = bits.rank(i)
             i = np.where((c >> level) & 1, zeros + r, i - r)
         return i
 
@@ -180,41 +194,61 @@ class FMIndex:
         base = self.count[c] - self.start[c]
         return base + self._walk(c, lo), base + self._walk(c, hi)
 
+    def several(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether the suffixes of each interval belong to more than one owner."""
+        return (hi - lo > 1) & (self.change.rank(hi) > self.change.rank(np.minimum(lo + 1, hi)))
 
-def shared_runs(words: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np.ndarray, run: int) -> np.ndarray:
-    """For each run of each unit in order, whether it occurs under two ids. words: those of all units in a row."""
+
+def matching(fm: FMIndex, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each place end, the length of the longest text[x:end + 1], x >= begin, that several owners hold."""
+    out = np.zeros(len(end), np.int64)
+    live = np.arange(len(end))
+    c = text[end]
+    a, b = fm.count[c], fm.count[c + 1]
+    length = 0
+    while len(live):
+        good = fm.several(a, b)
+        live, a, b = live[good], a[good], b[good]
+        length += 1
+        out[live] = length
+        more = end[live] - length >= begin[live]
+        live, a, b = live[more], a[more], b[more]
+        if len(live):
+            a, b = fm.extend(text[end[live] - length], a, b)
+    return out
+
+
+def shared_stretches(words: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, start, end) of the stretches of at least `run` words that occur under two ids.
+
+    words: those of all units in a row; each unit is held by the ids lo and hi, which may be one.
+    """
     m = len(size)
-    unit = np.repeat(np.arange(m), size)
-    text = np.zeros(len(words) + m, np.int64)
-    at = np.arange(len(words)) + unit
     _, dense = np.unique(words, return_inverse=True)
-    text[at] = dense + 1
-    owner = np.zeros(len(text), np.int64)
-    owner[at] = unit
-    owner[np.cumsum(size) + np.arange(m)] = np.arange(m)
-    fm = FMIndex(text, run + 1)
+    first = np.cumsum(size) - size
+    # the index holds a unit once for each of its two ids
+    twice = np.flatnonzero(lo < hi)
+    unit = np.r_[np.arange(m), twice]
+    n = size[unit]
+    begin = np.cumsum(n + 1) - n - 1
+    place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    text = np.zeros(int(n.sum()) + len(unit), np.int64)
+    text[np.repeat(begin, n) + place] = dense[np.repeat(first[unit], n) + place] + 1
+    owner = np.repeat(np.unique(np.r_[lo, hi[twice]], return_inverse=True)[1], n + 1)
+    fm = FMIndex(text, owner, int(size.max(initial=1)) + 1)
+    # all words of each different unit at which a stretch of that length can end
     per = size - run + 1
-    begin = np.cumsum(size + 1) - size - 1
     which = np.repeat(np.arange(m), per)
-    p = np.repeat(begin, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    alone = lo[which] == hi[which]
-    live = np.arange(len(p))
-    c = text[p + run - 1]
-    a, b = fm.count[c], fm.count[c + 1]
-    for j in range(run - 2, -1, -1):
-        stay = ~(alone[live] & (b - a <= 1))
-        live, a, b = live[stay], a[stay], b[stay]
-        a, b = fm.extend(text[p[live] + j], a, b)
-    out = np.zeros(len(p), bool)
-    if len(live):
-        ua, inv = np.unique(a, return_inverse=True)
-        ub = np.zeros(len(ua), np.int64)
-        ub[inv] = b
-        edges = np.ravel(np.column_stack([ua, ub]))
-        least = np.minimum.reduceat(np.r_[lo[owner[fm.sa]], 0], edges)[::2]
-        most = np.maximum.reduceat(np.r_[hi[owner[fm.sa]], 0], edges)[::2]
-        out[live] = (least < most)[inv]
-    return out
+    end = begin[which] + run - 1 + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    ms = matching(fm, text, begin[which], end)
+    long = np.flatnonzero(ms >= run)
+    # those that go on to the right are part of the next
+    goes_on = np.zeros(len(ms), bool)
+    goes_on[:-1] = (which[1:] == which[:-1]) & (ms[1:] == ms[:-1] + 1)
+    keep = long[~goes_on[long]]
+    u = which[keep]
+    z = end[keep] - begin[u] + 1
+    return u, z - ms[keep], z
 
 
 def _search(run: int):
@@ -224,14 +258,8 @@ def _search(run: int):
         lists = t.column("words").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        flag = shared_runs(lists.flatten().to_numpy(), size, col("lo"), col("hi"), run)
-        per = size - run + 1
-        which = np.repeat(np.arange(len(size)), per)
-        off = np.arange(len(flag)) - np.repeat(np.cumsum(per) - per, per)
-        head = np.flatnonzero(flag & np.r_[True, ~flag[:-1] | (which[1:] != which[:-1])])
-        tail = np.flatnonzero(flag & np.r_[~flag[1:] | (which[1:] != which[:-1]), True])
-        u = which[head]
-        return pa.table({"u1": col("u1")[u], "u2": col("u2")[u], "a": off[head].astype(np.int32), "z": off[tail].astype(np.int32)})
+        u, a, z = shared_stretches(lists.flatten().to_numpy(), size, col("lo"), col("hi"), run)
+        return pa.table({"u1": col("u1")[u], "u2": col("u2")[u], "a": a.astype(np.int32), "z": z.astype(np.int32)})
 
     return go
 
@@ -260,7 +288,7 @@ def spans_of(df: DataFrame, id_col: str, text_col: str, spec: Spec = Spec()) ->
     links = units.select("u1", "u2", "s1", "s2", "off").distinct()
     shared = found.join(links, ["u1", "u2"]).select("s1", "s2", (F.col("a") + F.col("off")).alias("a"), (F.col("z") + F.col("off")).alias("z"))
     lies = held.select("id", "at", "s1", "s2").join(shared, ["s1", "s2"])
-    lies = lies.select("id", (F.col("at") + F.col("a")).alias("s"), (F.col("at") + F.col("z") + spec.run).alias("e"))
+    lies = lies.select("id", (F.col("at") + F.col("a")).alias("s"), (F.col("at") + F.col("z")).alias("e"))
     by = Window.partitionBy("id").orderBy("s", "e")
     before = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
     isle = lies.withColumn("new", F.when(F.col("s") <= before, 0).otherwise(1)).withColumn("isle", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))

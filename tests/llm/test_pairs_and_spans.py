@@ -149,7 +149,8 @@ def test_shares(spark):
 def test_index_counts_every_pattern():
     r = np.random.default_rng(3)
     text = np.concatenate([np.r_[r.integers(1, 6, 40), 0] for _ in range(5)]).astype(np.int64)
-    fm = ss.FMIndex(text, 8)
+    own = np.repeat([0, 1, 2, 1, 0], 41)
+    fm = ss.FMIndex(text, own, 8)
     s = text.tolist()
     for _ in range(200):
         k = int(r.integers(1, 7))
@@ -158,3 +159,26 @@ def test_index_counts_every_pattern():
         for c in p[-2::-1]:
             a, b = fm.extend(np.array([c]), a, b)
         assert max(0, int(b[0] - a[0])) == sum(s[i : i + k] == p for i in range(len(s)))
+        assert bool(fm.several(a, b)[0]) == (len({int(own[i]) for i in range(len(s)) if s[i : i + k] == p}) > 1)
+
+
+def test_matching_statistics():
+    r = np.random.default_rng(5)
+    units = [r.integers(1, 4, int(r.integers(6, 15))) for _ in range(12)]
+    lo, hi = np.arange(12), np.arange(12)
+    hi[3], hi[7] = 40, 5
+    lo[7] = 5
+    words, size = np.concatenate(units), np.array([len(u) for u in units])
+    got = set(zip(*(v.tolist() for v in ss.shared_stretches(words, size, lo, hi, 4))))
+    held = defaultdict(set)
+    for u, w in enumerate(units):
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                held[tuple(w[i:j])] |= {lo[u], hi[u]}
+    want = set()
+    for u, w in enumerate(units):
+        best = [max((n for n in range(e + 1) if len(held[tuple(w[e - n : e])]) > 1 or n == 0), default=0) for e in range(1, len(w) + 1)]
+        for e, n in enumerate(best, 1):
+            if n >= 4 and not (e < len(w) and best[e] == n + 1):
+                want.add((u, e - n, e))
+    assert got == want and got
