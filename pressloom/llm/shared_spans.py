@@ -163,12 +163,19 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, owner: np.ndarray, depth: int) -> None:
         n = len(text)
-        rank, k = text.astype(np.int64), 1
+        rank, k, classes = text.astype(np.int64), 1, 0
+        ends = np.flatnonzero(text == 0)
+        last = np.repeat(ends, np.diff(np.r_[-1, ends])) if len(ends) else np.zeros(0, np.int64)
+        last = np.r_[last, np.full(n - len(last), n)]
         while k < depth:
             after = np.zeros(n, np.int64)
             after[: max(0, n - k)] = rank[k:] + 1
-            _, rank = np.unique(rank * (max(n, int(rank.max(initial=0))) + 2) + after, return_inverse=True)
-            k *= 2
+            # what lies beyond the end of a unit doesn't count
+            after[np.arange(n) + k > last] = 0
+            seen, finer = np.unique(rank * (max(n, int(rank.max(initial=0))) + 2) + after, return_inverse=True)
+            if k > 1 and len(seen) == classes:
+                break
+            rank, classes, k = finer, len(seen), 2 * k
         sa = np.argsort(rank, kind="stable")
         sigma = int(text.max(initial=0)) + 1
         self.count = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))]
@@ -236,9 +243,12 @@ def shared_stretches(words: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np
     text[np.repeat(begin, n) + place] = dense[np.repeat(first[unit], n) + place] + 1
     owner = np.repeat(np.unique(np.r_[lo, hi[twice]], return_inverse=True)[1], n + 1)
     fm = FMIndex(text, owner, int(size.max(initial=1)) + 1)
-    # all words of each different unit at which a stretch of that length can end
-    per = size - run + 1
-    which = np.repeat(np.arange(m), per)
+    # units shared as a whole show from their last word; of the others, all words at which a stretch of that length can end
+    last = begin[:m] + size - 1
+    all_ = np.flatnonzero(matching(fm, text, begin[:m], last) == size)
+    rest = np.setdiff1d(np.arange(m), all_, assume_unique=True)
+    per = (size - run + 1)[rest]
+    which = np.repeat(rest, per)
     end = begin[which] + run - 1 + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
     ms = matching(fm, text, begin[which], end)
     long = np.flatnonzero(ms >= run)
@@ -248,7 +258,7 @@ def shared_stretches(words: np.ndarray, size: np.ndarray, lo: np.ndarray, hi: np
     keep = long[~goes_on[long]]
     u = which[keep]
     z = end[keep] - begin[u] + 1
-    return u, z - ms[keep], z
+    return np.r_[all_, u], np.r_[np.zeros(len(all_), np.int64), z - ms[keep]], np.r_[size[all_], z]
 
 
 def _search(run: int):
