@@ -93,3 +93,38 @@ def char_tables() -> tuple[np.ndarray, np.ndarray]:
         if k in ("Lu", "Lt") and len(x := c.lower()) == 1:
             low[i] = ord(x)
     return cls, low
+
+
+@lru_cache(1)
+def word_table() -> np.ndarray:
+    """Whether a character is a letter or a digit, for each code point."""
+    out = np.zeros(0x110000, bool)
+    for i in range(0x110000):
+        out[i] = unicodedata.category(chr(i))[0] in "LN"
+    return out
+
+
+def shingle_sets(texts: list[str], k: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash), sorted by both: the different k-word sequences of each text of at least `least_words` words.
+
+    Words are the lower-cased unbroken stretches of letters and digits.
+    """
+    _, low_of = char_tables()
+    cp = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), np.uint32)
+    inside = word_table()[cp]
+    before = np.r_[False, inside[:-1]]
+    start, end = np.flatnonzero(inside & ~before), np.flatnonzero(before & ~inside)
+    low = np.where(cp < 0x10000, low_of[np.minimum(cp, 0xFFFF)], cp)
+    h = span_hash(low + np.uint32(1), start, end)
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
+    words = np.bincount(text, minlength=len(texts))
+    if len(h) < k:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i = np.arange(len(h) - k + 1)
+    g, of = span_hash(h, i, i + k).view(np.int64), text[: len(i)]
+    ok = (of == text[k - 1 :]) & (words[of] >= least_words)
+    g, of = g[ok], of[ok]
+    order = np.lexsort((g, of))
+    g, of = g[order], of[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (of[1:] != of[:-1])] if len(g) else np.zeros(0, bool)
+    return of[new], g[new]

@@ -4,10 +4,10 @@ Similarity is the Jaccard coefficient of the distinct k-word sequences (shingles
 
 1. Records with the same text are one class; only its first record goes on, all members are kept beside it.
 2. Shingles are ordered by the number of classes that hold them, rare ones first. For threshold t two records of size n can only
-   be similar if they share one of their first n - ceil(t*n) + 1 shingles (the prefix). Shingles of a single class can't match
-   and are only counted.
+   be similar if they share `Spec.shared` of their first n - ceil(t*n) + shared shingles (the prefix), or all that must be common where
+   that is less. Shingles of a single class can't match and are only counted.
 3. Classes with the same size and the same prefix form one group. Groups, not records, are joined on prefix shingles, under the
-   length and position filters; the surviving group pairs are expanded to their members.
+   length and position filters, and what they share is counted; the surviving group pairs are expanded to their members.
 4. Each pair of classes is verified on the full shingle sets in whole numbers.
 
 Shingles are compared by their 64-bit hashes: among 10^9 different shingles two collide with a probability of about 3 %, and a
@@ -16,24 +16,28 @@ collision changes an overlap by one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.llm import flat
 from pressloom.session import settle
 
-WORD = r"[\p{L}\p{N}]+"
-
 
 @dataclass(frozen=True)
 class Spec:
-    """k: words in a shingle; least: the similarity from which a pair counts; min_words: shorter records are left out."""
+    """k: words in a shingle; least: the similarity from which a pair counts; min_words: shorter records are left out; shared: shingles
+    that two prefixes must share (changes the work, not the result)."""
 
     k: int = 5
     least: Fraction = Fraction(4, 5)
     min_words: int = 25
+    shared: int = 4
 
 
 def _text(*cols: str) -> Column:
@@ -46,11 +50,17 @@ def _key(text: Column) -> list[Column]:
 
 def _shingled(classes: DataFrame, spec: Spec) -> DataFrame:
     """rep, n, sh: the distinct shingle hashes of each class long enough."""
-    # the one-row explode keeps Catalyst from copying the word split into the lambda, where it would run once per shingle
-    words = classes.select("rep", F.explode(F.array(F.regexp_extract_all(F.lower("text"), F.lit(WORD), 0))).alias("w")).filter(F.size("w") >= max(spec.min_words, spec.k))
-    at = lambda i, j: F.get("w", i + F.lit(j))
-    sh = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - spec.k, F.lit(0))), lambda i: F.xxhash64(*[at(i, j) for j in range(spec.k)])))
-    return words.select("rep", sh.alias("sh")).select("rep", F.size("sh").alias("n"), "sh")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a, z, part in flat.text_pieces(b.column(1).fill_null("")):
+                of, g = flat.shingle_sets(part.to_pylist(), spec.k, max(spec.min_words, spec.k))
+                n = np.bincount(of, minlength=z - a)
+                some = np.flatnonzero(n)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n[some])].astype(np.int32)), pa.array(g))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a).take(pa.array(some)), pa.array(n[some].astype(np.int32)), lists], ["rep", "n", "sh"])
+
+    return classes.select("rep", "text").mapInArrow(run, "rep long, n int, sh array<long>")
 
 
 def classes_of(df: DataFrame, id_col: str, text_cols: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
@@ -77,8 +87,8 @@ def class_links(classes: DataFrame, spec: Spec) -> DataFrame:
         .groupBy("rep", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
         .select("rep", "n", (F.col("n") - F.size("x")).alias("n1"), F.col("x.s").alias("toks"))
-        # the prefix has n - ceil(num*n/den) + 1 shingles, of which the n1 that nobody else holds come first
-        .withColumn("k", F.expr(f"CAST(n - (({num}L * n + {den - 1}) div {den}) + 1 - n1 AS INT)"))
+        # the prefix has n - ceil(num*n/den) + shared shingles, of which the n1 that nobody else holds come first
+        .withColumn("k", F.expr(f"CAST(least(n, n - (({num}L * n + {den - 1}) div {den}) + {spec.shared}) - n1 AS INT)"))
         .filter("k > 0")
         .withColumn("prefix", F.slice("toks", 1, F.col("k")))
         .withColumn("g1", F.xxhash64("prefix"))
@@ -94,11 +104,15 @@ def class_links(classes: DataFrame, spec: Spec) -> DataFrame:
         .select("tok", "gid", "n", (F.col("n1") + F.col("p")).alias("pos"))
     )
     a, b = index.alias("a"), index.alias("b")
-    # of two sizes the smaller must reach t times the larger; what can still be shared from here on must reach the needed overlap
-    need = f"{num + den}L * least(a.n - a.pos, b.n - b.pos) >= {num}L * (a.n + b.n)"
+    # of two sizes the smaller must reach t times the larger; with what was shared before, at most shared - 1 of those that are
+    # counted, what can still be shared from here on must reach the needed overlap
+    need = f"{num + den}L * ({spec.shared - 1} + least(a.n - a.pos, b.n - b.pos)) >= {num}L * (a.n + b.n)"
     size = f"{den}L * least(a.n, b.n) >= {num}L * greatest(a.n, b.n)"
     first = F.expr(f"a.tok = b.tok AND a.gid < b.gid AND {size} AND {need}")
-    pairs = a.join(b, first).select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct()
+    met = a.join(b, first).select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb"), F.greatest("a.n", "b.n").alias("big"))
+    # the larger of two similar sets holds at least t times its size in common
+    enough = F.expr(f"least({spec.shared}L, ({num}L * big + {den - 1}) div {den})")
+    pairs = met.groupBy("ga", "gb", "big").agg(F.count("*").alias("c")).filter(F.col("c") >= enough).select("ga", "gb")
     m1, m2 = grouped.select(F.col("gid").alias("ga"), F.col("rep").alias("x")), grouped.select(F.col("gid").alias("gb"), F.col("rep").alias("y"))
     across = pairs.join(m1, "ga").join(m2, "gb").select("x", "y")
     within = m1.join(m2.withColumnRenamed("gb", "ga"), "ga").filter("x < y").select("x", "y")
