@@ -70,6 +70,16 @@ def test_plans_are_tight():
     assert packing.make_plan(hist, 512).containers == 7
 
 
+def test_plans_with_all_lengths():
+    # 348,502 triples of lengths
+    hist = np.ones(2049, np.int64)
+    hist[0] = 0
+    assert len(packing.enumerate_patterns(np.flatnonzero(hist), 2048)[0]) > 348_000
+    plan = packing.make_plan(hist, 2048, packing.Spec(rounds=40))
+    fill = valid(plan, hist, 2048)
+    assert len(fill) <= -(-fill.sum() // 2048) + 1
+
+
 def test_pack(spark):
     rows = [(i, (i * 37) % 90 + 1, 1) for i in range(300)] + [(1000, 250, 1), (1001, 200, 1), (1002, 0, 1), (1003, None, 1), (1004, -4, 1), (None, 5, 1)] + [(2000 + i, 33, 1) for i in range(150)]
     docs = spark.createDataFrame(rows, "doc_id long, n long, container int")
