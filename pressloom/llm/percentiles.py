@@ -239,22 +239,20 @@ def answers(sketches: DataFrame, keys: Sequence[str], qs: Sequence[float], spec:
     return sketches.select(*keys, *STATE).mapInArrow(run, out)
 
 
-def exact(df: DataFrame, brackets: DataFrame, keys: Sequence[str], value: str, q: float, row_id: str) -> DataFrame:
-    """keys and `exact`: the true percentile of each group of brackets (keys, least, greatest, n), found by counting.
+def exact(df: DataFrame, brackets: DataFrame, keys: Sequence[str], value: str, row_id: str) -> DataFrame:
+    """keys, side and `exact`: the true percentile of each group and side of brackets (keys, side, least, greatest, n, q), by counting.
 
-    Rows below the bracket are only counted; those inside are counted by value before they meet in their group. A group whose bracket
-    turns out not to hold the percentile gives no row.
+    Only rows of these groups up to the upper end of a bracket go on; copies of a row count once. Those below a bracket are only counted,
+    those inside are counted by value before they meet in their group. A group whose bracket doesn't hold the percentile gives no row.
     """
-    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"), F.col(row_id).alias("__id")).distinct()
-    b = brackets.select(*keys, "least", "greatest")
-    hit = rows.join(b, same(rows, b)).select(*[rows[k] for k in keys], "__v", "least", "greatest").filter("__v <= greatest")
-    # values below the bracket become one: the bracket's lower end, of which only the count matters
-    counted = hit.groupBy(*keys, F.greatest("__v", F.col("least")).alias("v")).agg(F.count("*").alias("c"))
-    upto = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys).orderBy("v")))
-    n = brackets.select(*keys, F.ceil(F.round(F.col("n") * F.lit(q), 6)).alias("need"))
-    got = upto.join(n, same(upto, n)).select(*[upto[k] for k in keys], "v", "upto", "need").filter("upto >= need")
-    return got.groupBy(*keys).agg(F.min("v").alias("exact"))
+    b = brackets.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "side", "least", "greatest", F.ceil(F.round(F.col("n") * F.col("q"), 6)).alias("need"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"), F.col(row_id).alias("__id"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    held = rows.join(b, [*same, F.col("__v") <= F.col("greatest")]).select(*keys, "side", "need", "__id", F.greatest("__v", "least").alias("v")).distinct()
+    # values below the bracket have become its lower end, of which only the count matters
+    counted = held.groupBy(*keys, "side", "need", "v").agg(F.count("*").alias("c"))
+    upto = counted.withColumn("upto", F.sum("c").over(Window.partitionBy(*keys, "side").orderBy("v")))
+    return upto.filter("upto >= need").groupBy(*keys, "side").agg(F.min("v").alias("exact"))
 
 
 def wide_groups(df: DataFrame, keys: Sequence[str], value: str, row_id: str, low: float, high: float, times: int, spec: Spec = Spec()) -> DataFrame:
@@ -269,7 +267,7 @@ def wide_groups(df: DataFrame, keys: Sequence[str], value: str, row_id: str, low
     sure: Column = F.col(f"{b}_least") >= times * F.col(f"{a}_greatest")
     never: Column = F.col(f"{b}_greatest") < times * F.col(f"{a}_least")
     yes, open_ = ans.filter(sure).select(*keys), ans.filter(~sure & ~never)
-    side = lambda x, q: exact(df, open_.select(*keys, F.col(f"{x}_least").alias("least"), F.col(f"{x}_greatest").alias("greatest"), "n"), keys, value, q, row_id)
-    lo, hi = side(a, low), side(b, high).withColumnRenamed("exact", "exact_high")
-    both = lo.join(hi, [lo[k].eqNullSafe(hi[k]) for k in keys])
-    return yes.unionByName(both.filter(F.col("exact_high") >= times * F.col("exact")).select(*[lo[k] for k in keys]))
+    side = lambda name, x, q: open_.select(*keys, F.lit(name).alias("side"), F.col(f"{x}_least").alias("least"), F.col(f"{x}_greatest").alias("greatest"), "n", F.lit(q).alias("q"))
+    got = exact(df, side("low", a, low).unionByName(side("high", b, high)), keys, value, row_id)
+    both = got.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == x, F.col("exact"))).alias(f"__{x}") for x in ("low", "high")])
+    return yes.unionByName(both.filter(F.col("__high") >= times * F.col("__low")).select(*keys))

@@ -93,7 +93,7 @@ def test_limit_met_exactly_and_zero_median(spark):
 def test_exact_counts_inside_the_bracket(spark):
     df = spark.createDataFrame([(i, "a", (i * 37) % 1000) for i in range(1000)] + [(5, "a", 185)], "id long, g string, v long")
     b = spark.createDataFrame([("a", 400, 600, 1000)], "g string, least long, greatest long, n long")
-    assert pct.exact(df, b, ["g"], "v", 0.5, "id").first().exact == 499
+    assert pct.exact(df, b.selectExpr("*", "'low' AS side", "0.5D AS q"), ["g"], "v", "id").first().exact == 499
 
 
 def test_empty_and_doubles(spark):
