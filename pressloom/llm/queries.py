@@ -102,8 +102,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(mixing.mix(sizes, targets), sizes, targets)
 
 
+def p7_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The shares where the mix is to be as large as all listed documents together: small sources end at their cap and fall short."""
+    sizes, targets = _sizes(spark, d), table(spark, d, "mix_targets")
+    total = sizes.join(targets.select("source").distinct(), "source", "left_semi").agg(F.sum("n")).first()[0] or 0
+    return mixing.report(mixing.mix(sizes, targets, total), sizes, targets, total)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return tq.no_prose(p8_stats(spark, d))
+    return tq.no_prose(tq.quality(table(spark, d, "documents"), table(spark, d, "doc_labels"), once=False))
 
 
 def p8_stats(spark: SparkSession, d: str) -> DataFrame:

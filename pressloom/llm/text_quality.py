@@ -372,8 +372,9 @@ def figures(texts: Sequence[str], m: Model) -> dict[str, np.ndarray]:
     return out | {f"{k}_share": div(add(s["chars"] * (state == i)), chars) for i, k in enumerate(KINDS)}
 
 
-def quality(documents: DataFrame, labels: DataFrame, spec: Spec = Spec()) -> DataFrame:
-    """One row per document with its figures. Repeated rows count once; a null id is left out."""
+def quality(documents: DataFrame, labels: DataFrame, spec: Spec = Spec(), once: bool = True) -> DataFrame:
+    """One row per document with its figures. Repeated rows count once (of an id with several texts, the least figures), unless the
+    caller sees to it; a null id is left out."""
     m = learn(labelled_sample(documents, labels, spec), spec)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -384,7 +385,9 @@ def quality(documents: DataFrame, labels: DataFrame, spec: Spec = Spec()) -> Dat
                 got = figures(part.to_pylist(), m)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, z - a), *[pa.array(got[c]) for c in names[1:]]], names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL").mapInArrow(run, SCHEMA)
+    out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL").mapInArrow(run, SCHEMA)
+    # figures travel, not texts
+    return out.groupBy("doc_id").agg(F.min(F.struct(*names[1:])).alias("f")).select("doc_id", "f.*") if once else out
 
 
 def no_prose(figures_: DataFrame) -> DataFrame:
