@@ -2,37 +2,56 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Tags that end a block, and entities as decoded (fixed values).
-BLOCKS = "p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|br|tr|td|th|blockquote|section|article|header|footer|pre|figure|figcaption"
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#039;": "'", "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&euro;": "€", "&pound;": "£", "&copy;": "©", "&amp;": "&"}
+#: Tags that part words, and hosts that serve feeds of many outlets (fixed values).
+PARTING = r"(?i)<(?:br|/(?:p|div|li|h\d))[^>]*>"
+GENERIC_HOSTS = ("feedburner.com", "feedblitz.com", "rss.app")
 #: Words in an initialism that are skipped (fixed values).
 SMALL = ("the", "of", "and", "a", "an", "for", "de", "la", "el")
 
-SPACE = "[\\s\u00a0]+"
+SPACE = r"(?U)\s+"
+#: Comments and tags, also one that isn't closed.
+MARKUP = r"(?s)<!--.*?(?:-->|$)|<[a-zA-Z/!?][^>]*(?:>|$)"
+ENTITY = r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
 
 
 def _s(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def _named() -> Column:
+    """All named entities of HTML5 with what they stand for, as one literal."""
+    return F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in sorted(html.entities.html5.items()) if k.endswith(";")})), "map<string,string>")
+
+
 def decode_entities(text: Column) -> Column:
-    """Named and the usual numeric entities, the ampersand last, so that nothing is decoded twice."""
-    for k, v in ENTITIES.items():
-        text = F.replace(text, F.lit(k), F.lit(v))
-    return text
+    """Named and numeric entities, each once: what a decoded one makes with its neighbours stays. Unknown and impossible ones stay too."""
+
+    def one(e: Column) -> Column:
+        body = F.substring(e, 2, 40)
+        body = F.substring(body, F.lit(1), F.length(body) - 1)
+        code = F.when(F.lower(F.substring(body, 1, 2)) == "#x", F.conv(F.substring(body, 3, 40), 16, 10)).when(F.substring(body, 1, 1) == "#", F.substring(body, 2, 40)).try_cast("int")
+        ok = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(code.isNotNull(), F.when(ok, char)).otherwise(F.try_element_at(_named(), body))
+
+    said, parts = F.regexp_extract_all(text, F.lit(ENTITY), 0), F.split(text, ENTITY, -1)
+    both = F.zip_with(parts, said, lambda p, e: F.concat(p, F.coalesce(one(e), e, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(both, "")).otherwise(text)
 
 
 def plain(text: Column) -> Column:
-    """Block ends become spaces, tags go, entities are decoded, white space is folded."""
-    t = F.regexp_replace(_s(text), f"(?i)</?(?:{BLOCKS})\\b[^>]*>", " ")
-    t = decode_entities(F.regexp_replace(t, "<[^>]*>", ""))
-    return F.trim(F.regexp_replace(t, SPACE, " "))
+    """Line breaks and the ends of paragraphs, divisions, list items and headings become spaces, all other tags go without a trace, entities
+    are decoded, white space is folded."""
+    t = F.regexp_replace(F.regexp_replace(_s(text), PARTING, " "), MARKUP, "")
+    return F.trim(F.regexp_replace(decode_entities(t), SPACE, " "))
 
 
 def words_of_plain(text: Column) -> Column:
@@ -41,7 +60,8 @@ def words_of_plain(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return words_of_plain(plain(text))
+    """The same of a text that may have markup."""
+    return words_of_plain(F.when(text.rlike("[<&]"), plain(text)).otherwise(text))
 
 
 def word_count(text: Column) -> Column:
@@ -49,13 +69,17 @@ def word_count(text: Column) -> Column:
 
 
 def cap_words(text: Column, most: int) -> Column:
-    """The text if it has at most `most` words; else cut after the last sentence that ends within them, or after the last word, with an ellipsis."""
-    t = F.trim(F.regexp_replace(_s(text), SPACE, " "))
-    parts = F.split(t, " ")
-    head = F.array_join(F.slice(parts, 1, most), " ")
-    sentence = F.regexp_extract(head, r"(?s)^(.*[.!?][\"'”’»)]?)(?:\s|$)", 1)
-    cut = F.concat(F.regexp_replace(head, r"[ ,;:]+$", ""), F.lit("…"))
-    return F.when(F.size(parts) <= most, t).when(sentence != "", sentence).otherwise(cut)
+    """The text as it is if it has at most `most` words, or if that is 0; else its words, cut after the last that ends a sentence, from the
+    second on, or after the last one, with an ellipsis."""
+    t = F.regexp_replace(_s(text), r"^[ \t\n\r\x00\x0B]+|[ \t\n\r\x00\x0B]+$", "")
+    if most <= 0:
+        return t
+    parts = F.filter(F.split(t, SPACE), lambda x: x != "")
+    head = F.slice(parts, 1, most)
+    ends = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda i: (i > 1) & F.coalesce(F.get(head, i - 1), F.lit("")).rlike(r"[.!?][\"')\]]?$"))
+    last = F.array_max(ends)
+    cut = F.concat(F.regexp_replace(F.array_join(head, " "), r"[ ,;:]+$", ""), F.lit("…"))
+    return F.when(F.size(parts) <= most, t).when(last.isNotNull(), F.array_join(F.slice(head, F.lit(1), last), " ")).otherwise(cut)
 
 
 def shingles(w: Column, k: int = 5) -> Column:
@@ -79,20 +103,36 @@ def redact(text: Column, terms: Sequence[str], mark: str = "[outlet]") -> Column
     return F.regexp_replace(_s(text), f"(?iu)(?<![\\p{{L}}\\p{{N}}])(?:{body})(?![\\p{{L}}\\p{{N}}])", mark.replace("$", r"\$"))
 
 
-def outlet_terms(name: str, feed_host: str | None = None, aliases: Sequence[str] = ()) -> list[str]:
-    """What names an outlet: its name, the name without a leading article, its domain, its aliases."""
-    out = [name, re.sub(r"(?i)^the\s+", "", name), *aliases]
-    if feed_host:
-        out.append(re.sub(r"^(?:www|feeds?|rss)\.", "", feed_host.lower()))
-    return out
+def _literal(c: Column) -> Column:
+    """A text as a pattern of itself."""
+    return F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|&~#-])", r"\\$1")
+
 
+def domain(url: Column) -> Column:
+    """The last two labels of the host of a URL; empty without a host and for hosts that serve feeds of many outlets."""
+    host = F.lower(F.regexp_extract(_s(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    two = F.array_join(F.slice(F.split(host, r"\."), F.greatest(F.size(F.split(host, r"\.")) - 1, F.lit(1)), 2), ".")
+    return F.when(two.isin(*GENERIC_HOSTS), "").otherwise(two)
 
-def redact_by(text: Column, name: Column, mark: str = "[outlet]") -> Column:
-    """The same with the outlet's name taken from a column of the row."""
-    full, short = F.trim(_s(name)), F.regexp_replace(F.trim(_s(name)), r"(?i)^the\s+", "")
-    safe = lambda c: F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), safe(full), F.lit("|"), safe(short), F.lit(r")(?![\p{L}\p{N}])"))
-    return F.when(F.length(short) >= 3, F.regexp_replace(_s(text), pattern, F.lit(mark))).otherwise(_s(text))
+
+def outlet_terms(name: str, feed_url: str | None = None, aliases: Sequence[str] = ()) -> list[str]:
+    """What names an outlet: its name, the name without a leading article, the domain of its feed, its aliases."""
+    out = [name, re.sub(r"(?i)^the\s+", "", name.strip()), *aliases]
+    host = re.match(r"[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", (feed_url or "").lower())
+    two = ".".join(host.group(1).split(".")[-2:]) if host else ""
+    return [*out, two] if two and two not in GENERIC_HOSTS else out
+
+
+def term_pattern(terms: Column) -> Column:
+    """A pattern for an array of terms, longest first, those of three characters and more, as whole words in any case; null without any."""
+    use = F.array_distinct(F.filter(F.transform(terms, lambda t: F.trim(t)), lambda t: F.length(t) >= 3))
+    ordered = F.transform(F.array_sort(F.transform(use, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: _literal(x["t"]))
+    return F.when(F.size(use) > 0, F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(ordered, "|"), F.lit(r")(?![\p{L}\p{N}])")))
+
+
+def redact_by(text: Column, pattern: Column, mark: str = "[outlet]") -> Column:
+    """The text with what the row's pattern (of term_pattern) names replaced; a row without a pattern keeps its text."""
+    return F.when(pattern.isNotNull(), F.regexp_replace(_s(text), pattern, F.lit(mark.replace("$", r"\$")))).otherwise(_s(text))
 
 
 def byline(text: Column, wires: Sequence[tuple[str, str]], reach: int = 60) -> Column:
@@ -135,11 +175,14 @@ def initials(name: Column) -> Column:
 
 
 def relative_time(then: Column, now: Column, compact: bool = False) -> Column:
-    """Age of Unix seconds `then`: minutes, hours, days, weeks, months, at least one."""
+    """Age of Unix seconds `then`: minutes, hours, days, weeks, months, at least one of the first and last. The compact form ends with days."""
     age = F.greatest(now - then, F.lit(0))
-    steps = ((3600, 60, "min", "m"), (86400, 3600, "hour", "h"), (7 * 86400, 86400, "day", "d"), (30 * 86400, 7 * 86400, "wk", "w"))
-    say = lambda size, word, short: F.concat(F.greatest(F.floor(age / size), F.lit(1)).cast("string"), F.lit(short if compact else f" {word}"))
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for end, size, word, short in steps:
-        out = out.when(age < end, say(size, word, short))
-    return out.otherwise(say(30 * 86400, "month", "mo"))
+    count = lambda size: F.floor(age / size)
+    minutes, hours, days = F.greatest(count(60), F.lit(1)), count(3600), count(86400)
+    if compact:
+        return F.when(age < 3600, F.concat(minutes, F.lit(" min ago"))).when(age < 86400, F.concat(hours, F.lit(" h ago"))).otherwise(F.concat(days, F.lit(" d ago")))
+    several = lambda n, one, more: F.concat(n.cast("string"), F.when(n == 1, f" {one}").otherwise(f" {more}"))
+    return (
+        F.when(age < 3600, several(minutes, "min", "min")).when(age < 86400, several(hours, "hour", "hours")).when(age < 7 * 86400, several(days, "day", "days"))
+        .when(age < 30 * 86400, several(count(7 * 86400), "wk", "wk")).otherwise(several(count(30 * 86400), "month", "months"))
+    )

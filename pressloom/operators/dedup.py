@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressloom.functions.text import shingles, words_of_plain
+from pressloom.functions.text import shingles, words
 from pressloom.session import settle
 
 #: Hash functions of a signature, and the prime they work in (fixed values).
 HASHES, PRIME = 128, (1 << 31) - 1
 LEAST_WORDS = 80
+#: Shingles that the rare end of one set must share with the other set before both are compared; the result doesn't depend on it.
+COMMON = 4
 
 
 def coefficients(n: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
@@ -31,7 +33,7 @@ def hash32(shingle: Column) -> Column:
 def shingled(df: DataFrame, id_col: str, text: Column, k: int = 5) -> DataFrame:
     """id, words (their number), sh (distinct shingles)."""
     # the one-row explode keeps the word list a column, so it isn't split again for every shingle
-    w = df.select(F.col(id_col).alias("id"), F.explode(F.array(words_of_plain(text))).alias("w"))
+    w = df.select(F.col(id_col).alias("id"), F.explode(F.array(words(text))).alias("w"))
     return w.select("id", F.size("w").alias("words"), shingles(F.col("w"), k).alias("sh"))
 
 
@@ -74,24 +76,31 @@ def matches(docs: DataFrame, least_jaccard: tuple[int, int] = (4, 5), least_cont
     by Jaccard or by the share of the smaller one. docs: id, created, words, sh, and wire where known (null for none): for two texts of the
     same wire both limits are `least_wired`.
 
-    Exact, by prefixes: two sets of which the smaller, of n shingles, has a share c in the other must share one of its n - ceil(c n) + 1
-    rarest shingles. So the rare ends of all sets are met with all shingles of all sets, and pairs found are counted out. c is the
-    smaller of both limits, as a Jaccard coefficient of j puts at least a share j of the smaller set into the other. The ends of texts with a wire are longer, and what is beyond the usual
-    end meets texts of that wire only.
+    Exact, by prefixes: two sets of which the smaller, of n shingles, has a share c in the other must share `COMMON` of its
+    n - ceil(c n) + COMMON rarest shingles (or all that must be common, where that is less). So the rare ends of all sets are met with all
+    shingles of the sets of neighbouring time windows, what each pair shares is counted, and pairs that share enough are counted out. c is
+    the smaller of both limits, as a Jaccard coefficient of j puts at least a share j of the smaller set into the other. The ends of texts
+    with a wire are longer, and what is beyond the usual end meets texts of that wire only.
     """
     cn, cd = min(least_jaccard, least_containment, key=lambda f: f[0] / f[1])
+    wn, wd = min((cn, cd), least_wired, key=lambda f: f[0] / f[1])
     wire = F.col("wire") if "wire" in docs.columns else F.lit(None).cast("string")
     d = docs.filter((F.col("words") >= least_words) & (F.size("sh") > 0)).select("id", "created", wire.alias("wire"), F.size("sh").alias("n"), F.explode(F.transform("sh", lambda s: F.xxhash64(s))).alias("s"))
     df = d.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
     lists = d.join(df, "s").groupBy("id", "created", "wire", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("x"))
     lists = settle(lists.select("id", "created", "wire", "n", F.col("x.s").alias("toks")), "postings")
-    keep = lambda cn, cd: (F.col("n") - F.floor((cn * F.col("n") + cd - 1) / cd) + 1 - (F.col("n") - F.size("toks"))).cast("int")
-    k, wide = keep(cn, cd), keep(*min((cn, cd), least_wired, key=lambda f: f[0] / f[1]))
+    must = lambda n, d: F.floor((n * F.col("n") + d - 1) / d)
+    keep = lambda n, d: (F.least(F.col("n"), F.col("n") - must(n, d) + COMMON) - (F.col("n") - F.size("toks"))).cast("int")
+    k, wide = keep(cn, cd), keep(wn, wd)
+    span = F.floor(F.col("created") / max(1, window))
     rare = lists.withColumn("k", k).withColumn("wide", F.when(F.col("wire").isNotNull(), wide).otherwise(k)).filter("wide > 0")
     rare = rare.select("id", "created", "wire", "n", "k", F.posexplode(F.slice("toks", 1, F.col("wide"))).alias("at", "s"))
-    full = lists.select(F.col("id").alias("o"), F.col("created").alias("ot"), F.col("wire").alias("ow"), F.col("n").alias("on"), F.explode("toks").alias("s"))
-    near = rare.join(full, "s").filter((F.col("id") != F.col("o")) & (F.abs(F.col("created") - F.col("ot")) <= window) & (F.col("n") <= F.col("on")) & ((F.col("at") < F.col("k")) | (F.col("wire") == F.col("ow"))))
-    pair = near.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+    # texts no further apart than the window lie in the same span of time or in neighbouring ones
+    rare = rare.withColumn("span", F.explode(F.array(span - 1, span, span + 1)))
+    full = lists.select(F.col("id").alias("o"), F.col("created").alias("ot"), F.col("wire").alias("ow"), F.col("n").alias("on"), span.alias("span"), F.explode("toks").alias("s"))
+    near = rare.join(full, ["s", "span"]).filter((F.col("id") != F.col("o")) & (F.abs(F.col("created") - F.col("ot")) <= window) & (F.col("n") <= F.col("on")) & ((F.col("at") < F.col("k")) | (F.col("wire") == F.col("ow"))))
+    met = near.groupBy(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).agg(F.count("*").alias("met"), F.min(F.least(F.lit(COMMON), must(wn, wd))).alias("enough"))
+    pair = met.filter("met >= enough").select("a", "b")
     side = lambda c: lists.select(F.col("id").alias(c), F.col("created").alias(f"{c}t"), F.col("wire").alias(f"{c}w"), F.col("n").alias(f"{c}n"), F.col("toks").alias(f"{c}x"))
     p = pair.join(side("a"), "a").join(side("b"), "b")
     p = p.withColumn("shared", F.size(F.array_intersect("ax", "bx")))
@@ -132,7 +141,7 @@ def reprint_cards(new: DataFrame, originals: DataFrame) -> DataFrame:
 def first_copied_run(pairs: DataFrame, n: int = 8) -> DataFrame:
     """key, at, run: the first run of n words of a candidate that a source of the same key holds too. pairs: key, candidate, source."""
     def grams(col: str) -> DataFrame:
-        w = pairs.select("key", F.explode(F.array(words_of_plain(F.col(col)))).alias("w")).filter(F.size("w") >= n).distinct()
+        w = pairs.select("key", F.explode(F.array(words(F.col(col)))).alias("w")).filter(F.size("w") >= n).distinct()
         at = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
         return w.select("key", F.posexplode(F.transform(at, lambda i: F.array_join(F.slice("w", i, n), " "))).alias("at", "run"))
 

@@ -322,9 +322,11 @@ def _(spark, d):
     return reports.card_list(table(spark, d, "cards"), ["economy", "health"]).select("source_id", "topic")
 
 
-@query("report_ages", f"SELECT story_id, CASE WHEN a < 3600 THEN greatest(a // 60, 1) || ' min' WHEN a < 86400 THEN greatest(a // 3600, 1) || ' hour' WHEN a < 604800 THEN greatest(a // 86400, 1) || ' day' WHEN a < 2592000 THEN greatest(a // 604800, 1) || ' wk' ELSE greatest(a // 2592000, 1) || ' month' END AS age FROM (SELECT story_id, greatest({NOW} - created, 0) AS a FROM {STORIES})")
+@query("report_ages", f"""SELECT story_id, n::VARCHAR || ' ' || CASE WHEN unit IN ('min', 'wk') OR n = 1 THEN unit ELSE unit || 's' END AS age, CASE WHEN a < 3600 THEN greatest(a // 60, 1) || ' min ago' WHEN a < 86400 THEN (a // 3600) || ' h ago' ELSE (a // 86400) || ' d ago' END AS short
+    FROM (SELECT *, CASE unit WHEN 'min' THEN greatest(a // 60, 1) WHEN 'hour' THEN a // 3600 WHEN 'day' THEN a // 86400 WHEN 'wk' THEN a // 604800 ELSE a // 2592000 END AS n
+      FROM (SELECT *, CASE WHEN a < 3600 THEN 'min' WHEN a < 86400 THEN 'hour' WHEN a < 604800 THEN 'day' WHEN a < 2592000 THEN 'wk' ELSE 'month' END AS unit FROM (SELECT story_id, greatest({NOW} - created, 0) AS a FROM {STORIES})))""")
 def _(spark, d):
-    return views.once(table(spark, d, "stories"), "story_id").select("story_id", text.relative_time(F.col("created"), F.lit(NOW)).alias("age"))
+    return views.once(table(spark, d, "stories"), "story_id").select("story_id", text.relative_time(F.col("created"), F.lit(NOW)).alias("age"), text.relative_time(F.col("created"), F.lit(NOW), compact=True).alias("short"))
 
 
 @query("report_rollup_relevance", f"SELECT story_id, count(*) AS cards, count(score) AS rated, count(DISTINCT CASE WHEN syndicated_from IS NULL AND coalesce(section, 'news') <> 'opinion' THEN outlet END) AS outlets FROM {CARDS} WHERE status = 1 AND story_id IS NOT NULL GROUP BY 1")
@@ -337,20 +339,24 @@ def _(spark, d):
 # Text
 
 WORDS = "regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}]+')"
+#: White space in the SQL's patterns.
+BLANK = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-@query("text_word_counts", f"SELECT doc_id, len({WORDS.format('text')})::INT AS words, len(list_distinct({WORDS.format('text')}))::INT AS different, md5(array_to_string({WORDS.format('text')}, ' ')) AS digest FROM documents")
-def _(spark, d):
-    w = table(spark, d, "documents").select("doc_id", F.explode(F.array(text.words_of_plain(F.col("text")))).alias("w"))
-    return w.select("doc_id", F.size("w").alias("words"), F.size(F.array_distinct("w")).alias("different"), F.md5(F.array_join("w", " ")).alias("digest"))
+def plain_sql(c: str) -> str:
+    """The text without markup. The tables have no entities, so the SQL decodes none; tests show that part."""
+    parted = rf"regexp_replace(coalesce({c}, ''), '<br[^>]*>|</p[^>]*>|</div[^>]*>|</li[^>]*>|</h[0-9][^>]*>', ' ', 'gi')"
+    return rf"trim(regexp_replace(regexp_replace({parted}, '<!--(?s:.)*?(-->|$)|<[a-zA-Z/!?][^>]*(>|$)', '', 'g'), '{BLANK}+', ' ', 'g'))"
 
 
-def plain_sql(c: str) -> str:
-    """The text without markup, as text.plain has it."""
-    out = f"regexp_replace(regexp_replace(coalesce({c}, ''), '</?(?:{text.BLOCKS})\\b[^>]*>', ' ', 'gi'), '<[^>]*>', '', 'g')"
-    for k, v in text.ENTITIES.items():
-        out = "replace({}, '{}', '{}')".format(out, k, v.replace("'", "''"))
-    return f"trim(regexp_replace({out}, '[\\s\\x{{00a0}}]+', ' ', 'g'))"
+def words_sql(c: str) -> str:
+    return rf"regexp_extract_all(lower({plain_sql(c)}), '[\p{{L}}\p{{N}}]+')"
+
+
+@query("text_word_counts", f"SELECT doc_id, len(w)::INT AS words, len(list_distinct(w))::INT AS different, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents)")
+def _(spark, d):
+    w = table(spark, d, "documents").select("doc_id", F.explode(F.array(text.words(F.col("text")))).alias("w"))
+    return w.select("doc_id", F.size("w").alias("words"), F.size(F.array_distinct("w")).alias("different"), F.md5(F.array_join("w", " ")).alias("digest"))
 
 
 @query("text_plain", f"SELECT item_id, md5({plain_sql('body')}) AS digest FROM (SELECT DISTINCT * FROM ingestion_engine)")
@@ -358,13 +364,16 @@ def _(spark, d):
     return views.once(table(spark, d, "ingestion_engine"), "item_id").select("item_id", F.md5(text.plain(F.col("body"))).alias("digest"))
 
 
-@query("text_shingle_counts", f"WITH w AS (SELECT doc_id, {WORDS.format('text')} AS w FROM documents) SELECT doc_id, greatest(len(w) - 4, 0)::INT AS all_, len(list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]))::INT AS different FROM w")
+@query("text_shingle_counts", f"WITH w AS (SELECT doc_id, {words_sql('text')} AS w FROM documents) SELECT doc_id, greatest(len(w) - 4, 0)::INT AS all_, len(list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]))::INT AS different FROM w")
 def _(spark, d):
     s = dedup.shingled(table(spark, d, "documents"), "doc_id", F.col("text"))
     return s.select(F.col("id").alias("doc_id"), F.greatest(F.col("words") - 4, F.lit(0)).alias("all_"), F.size("sh").alias("different"))
 
 
-@query("text_capped")
+@query("text_capped", rf"""WITH t AS (SELECT source_id, regexp_replace(coalesce(micro_summary, ''), '^[ \t\n\r\x0b]+|[ \t\n\r\x0b]+$', '', 'g') AS t FROM {CARDS}),
+    w AS (SELECT source_id, t, list_filter(string_split_regex(t, '{BLANK}+'), lambda x: x <> '') AS w FROM t),
+    e AS (SELECT *, list_max(list_filter(range(2, 26), lambda i: regexp_matches(w[i], '[.!?][\"'')\]]?$'))) AS cut_at FROM w)
+    SELECT source_id, CASE WHEN len(w) <= 25 THEN t WHEN cut_at IS NOT NULL THEN array_to_string(w[1:cut_at], ' ') ELSE rtrim(array_to_string(w[1:25], ' '), ' ,;:') || '…' END AS capped FROM e""")
 def _(spark, d):
     c = views.once(table(spark, d, "cards"), "source_id")
     return c.select("source_id", text.cap_words(F.col("micro_summary"), 25).alias("capped"))
@@ -376,10 +385,20 @@ def _(spark, d):
     return c.select("id", text.long_quotation(F.col("body_excerpt"), 6).alias("quoted"))
 
 
-@query("text_redacted")
+#: The SQL has no way to look behind: what stands around a name is kept, and neighbours that share a sign are met by a second turn.
+REDACTED = rf"""WITH f AS (SELECT DISTINCT feed_id, outlet, feed_url FROM feeds), h AS (SELECT *, lower(trim(coalesce(outlet, ''))) AS k, string_split(lower(regexp_extract(coalesce(feed_url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '.') AS l FROM f),
+    n AS (SELECT k, trim(outlet) AS term FROM h UNION SELECT k, regexp_replace(trim(outlet), '^the\s+', '', 'i') FROM h
+      UNION SELECT k, array_to_string(l[greatest(len(l) - 1, 1):], '.') AS x FROM h WHERE array_to_string(l[greatest(len(l) - 1, 1):], '.') NOT IN ('feedburner.com', 'feedblitz.com', 'rss.app')),
+    p AS (SELECT k, '(^|[^\p{{L}}\p{{N}}])(?:' || string_agg(regexp_escape(term), '|' ORDER BY len(term) DESC, term) || ')($|[^\p{{L}}\p{{N}}])' AS pat FROM n WHERE k <> '' AND len(term) >= 3 GROUP BY k),
+    i AS (SELECT i.item_id, coalesce(i.body, '') AS body, p.pat FROM (SELECT DISTINCT * FROM ingestion_engine) i LEFT JOIN h USING (feed_id) LEFT JOIN p USING (k))
+    SELECT item_id, md5(CASE WHEN pat IS NULL THEN body ELSE regexp_replace(regexp_replace(body, pat, '\1[outlet]\2', 'gi'), pat, '\1[outlet]\2', 'gi') END) AS digest FROM i"""
+
+
+@query("text_redacted", REDACTED)
 def _(spark, d):
-    i = views.once(table(spark, d, "ingestion_engine"), "item_id").join(views.once(table(spark, d, "feeds"), "feed_id").select("feed_id", "outlet"), "feed_id", "left")
-    return i.select("item_id", text.redact_by(F.col("body"), F.col("outlet")).alias("body"))
+    f = feeds_.outlet_patterns(views.once(table(spark, d, "feeds"), "feed_id"))
+    i = views.once(table(spark, d, "ingestion_engine"), "item_id").join(f, "feed_id", "left")
+    return i.select("item_id", F.md5(text.redact_by(F.col("body"), F.col("pattern"))).alias("digest"))
 
 
 @query("text_terms", "SELECT story_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split_regex(trim(lower(coalesce(title, ''))), '\\s+'), lambda x: regexp_replace(x, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), lambda x: len(x) >= 3))), ' ') AS terms FROM (SELECT DISTINCT * FROM stories)")
@@ -392,12 +411,14 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("estimate"))
 
 
-@query("text_bylines")
+@query("text_bylines", rf"""WITH w AS (SELECT item_id, list_filter(string_split_regex(coalesce(body, ''), '{BLANK}+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT * FROM ingestion_engine)),
+    e AS (SELECT item_id, lower(array_to_string(w[1:60], ' ')) AS a, lower(array_to_string(w[greatest(len(w) - 59, 1):], ' ')) AS z FROM w)
+    SELECT item_id, CASE {" ".join(f"WHEN contains(a, '{x.lower()}') OR contains(z, '{x.lower()}') THEN '{y}'" for x, y in WIRES)} END AS wire FROM e""")
 def _(spark, d):
     return views.once(table(spark, d, "ingestion_engine"), "item_id").select("item_id", text.byline(F.col("body"), WIRES).alias("wire"))
 
 
-@query("text_partial", f"SELECT item_id, (len({WORDS.format(plain_sql('abstract'))}) < 15)::INT AS is_short FROM (SELECT DISTINCT * FROM ingestion_engine)")
+@query("text_partial", f"SELECT item_id, (len({words_sql('abstract')}) < 15)::INT AS is_short FROM (SELECT DISTINCT * FROM ingestion_engine)")
 def _(spark, d):
     return views.once(table(spark, d, "ingestion_engine"), "item_id").select("item_id", text.partial(F.col("abstract"), 15).alias("is_short"))
 
@@ -418,14 +439,14 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return dedup.shingled(g, "id", F.concat_ws(" ", "title", "body_excerpt")).join(c, "id").join(w, "id")
 
 
-@query("dedup_signatures", f"WITH s AS (SELECT id, list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS sh FROM (SELECT id, {WORDS.format('body_excerpt')} AS w FROM (SELECT DISTINCT id, body_excerpt FROM classify_cluster))), e AS (SELECT id, unnest(sh) AS g FROM s), h AS (SELECT id, ('0x' || substr(md5(g), 1, 8))::UBIGINT AS x FROM e), m AS (SELECT id, k, min((x * (((k + 1) * 1103515245 + 12345) % 2147483647)::UBIGINT + (((k + 1) * 69069 + 1) % 2147483647)::UBIGINT) % 2147483647) AS v FROM h, range(128) r(k) GROUP BY 1, 2) SELECT id, string_agg(v::VARCHAR, ',' ORDER BY k) AS signature FROM m GROUP BY 1")
+@query("dedup_signatures", f"WITH s AS (SELECT id, list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS sh FROM (SELECT id, {words_sql('body_excerpt')} AS w FROM (SELECT DISTINCT id, body_excerpt FROM classify_cluster))), e AS (SELECT id, unnest(sh) AS g FROM s), h AS (SELECT id, ('0x' || substr(md5(g), 1, 8))::UBIGINT AS x FROM e), m AS (SELECT id, k, min((x * (((k + 1) * 1103515245 + 12345) % 2147483647)::UBIGINT + (((k + 1) * 69069 + 1) % 2147483647)::UBIGINT) % 2147483647) AS v FROM h, range(128) r(k) GROUP BY 1, 2) SELECT id, string_agg(v::VARCHAR, ',' ORDER BY k) AS signature FROM m GROUP BY 1")
 def _(spark, d):
     g = views.once(table(spark, d, "classify_cluster"), "id")
     sig = dedup.signatures(dedup.shingled(g, "id", F.col("body_excerpt")).select("id", "sh"))
     return sig.filter("size > 0").select("id", F.array_join(F.transform("sig", lambda x: x.cast("string")), ",").alias("signature"))
 
 
-MATCH = f"""WITH t AS (SELECT g.id, c.created, {WORDS.format("concat_ws(' ', title, body_excerpt)").replace("body_excerpt", "g.body_excerpt").replace("title", "g.title")} AS w FROM (SELECT DISTINCT id, title, body_excerpt FROM classify_cluster) g JOIN {CARDS} c ON c.source_id = g.id),
+MATCH = f"""WITH t AS (SELECT g.id, c.created, {words_sql("concat_ws(' ', g.title, g.body_excerpt)")} AS w FROM (SELECT DISTINCT id, title, body_excerpt FROM classify_cluster) g JOIN {CARDS} c ON c.source_id = g.id),
  s AS (SELECT id, created, list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS sh FROM t WHERE len(w) >= 80), e AS (SELECT id, created, len(sh) AS n, unnest(sh) AS g FROM s),
  p AS (SELECT a.id, b.id AS o, count(*) AS shared, any_value(a.n) AS n, any_value(b.n) AS m FROM e a JOIN e b ON a.g = b.g AND (b.created, b.id) < (a.created, a.id) AND a.created - b.created <= 172800 GROUP BY 1, 2)
  SELECT id, o AS of, shared::INT AS shared, n::INT AS size, m::INT AS size_of FROM p WHERE 5 * shared >= 4 * (n + m - shared) OR 20 * shared >= 17 * least(n, m)"""
@@ -436,7 +457,16 @@ def _(spark, d):
     return dedup.matches(_texts(spark, d))
 
 
-@query("dedup_estimates")
+#: Signatures of all texts, and of each match the share of equal places and what it makes of the smaller set.
+ESTIMATE = f"""{MATCH.rsplit("SELECT id, o AS of", 1)[0].rstrip()},
+ m AS (SELECT id, o AS of, shared::INT AS shared, n, m FROM p WHERE 5 * shared >= 4 * (n + m - shared) OR 20 * shared >= 17 * least(n, m)),
+ h AS (SELECT id, ('0x' || substr(md5(g), 1, 8))::UBIGINT AS x FROM e WHERE id IN (SELECT id FROM m UNION SELECT of FROM m)),
+ v AS (SELECT id, k, min((x * (((k + 1) * 1103515245 + 12345) % 2147483647)::UBIGINT + (((k + 1) * 69069 + 1) % 2147483647)::UBIGINT) % 2147483647) AS v FROM h, range(128) r(k) GROUP BY 1, 2),
+ j AS (SELECT m.id, m.of, m.shared, m.n, m.m, count(*) FILTER (WHERE x.v = y.v) / 128.0 AS jaccard FROM m JOIN v x ON x.id = m.id JOIN v y ON y.id = m.of AND y.k = x.k GROUP BY ALL)
+ SELECT id, of, shared, jaccard::DOUBLE AS jaccard, least(1.0, jaccard::DOUBLE * (n + m) / (1 + jaccard::DOUBLE) / least(n, m))::DOUBLE AS containment FROM j"""
+
+
+@query("dedup_estimates", ESTIMATE)
 def _(spark, d):
     t = settle(_texts(spark, d), "texts")
     sig = dedup.signatures(t.select("id", "sh"))
@@ -457,7 +487,7 @@ def _(spark, d):
     return dedup.reprint_cards(c, c).select("source_id", "syndicated_from", "story_id", "score", "topic")
 
 
-@query("dedup_copied_run", f"WITH p AS (SELECT c.source_id AS key, {WORDS.format('c.micro_summary')} AS a, {WORDS.format('o.micro_summary')} AS b FROM {CARDS} c JOIN {CARDS} o ON o.source_id = c.syndicated_from), x AS (SELECT key, unnest(range(1, len(a) - 6)) AS at, a FROM p), y AS (SELECT DISTINCT key, array_to_string(b[i:i+7], ' ') AS run FROM (SELECT key, b, unnest(range(1, len(b) - 6)) AS i FROM p)), z AS (SELECT x.key, x.at - 1 AS at, array_to_string(x.a[x.at:x.at+7], ' ') AS run FROM x) SELECT z.key, min(z.at)::INT AS at FROM z JOIN y USING (key, run) GROUP BY 1")
+@query("dedup_copied_run", f"WITH p AS (SELECT c.source_id AS key, {words_sql('c.micro_summary')} AS a, {words_sql('o.micro_summary')} AS b FROM {CARDS} c JOIN {CARDS} o ON o.source_id = c.syndicated_from), x AS (SELECT key, unnest(range(1, len(a) - 6)) AS at, a FROM p), y AS (SELECT DISTINCT key, array_to_string(b[i:i+7], ' ') AS run FROM (SELECT key, b, unnest(range(1, len(b) - 6)) AS i FROM p)), z AS (SELECT x.key, x.at - 1 AS at, array_to_string(x.a[x.at:x.at+7], ' ') AS run FROM x) SELECT z.key, min(z.at)::INT AS at FROM z JOIN y USING (key, run) GROUP BY 1")
 def _(spark, d):
     c = views.once(table(spark, d, "cards"), "source_id")
     o = c.select(F.col("source_id").alias("_o"), F.col("micro_summary").alias("source"))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pressloom.functions.text import plain, word_count
+from pressloom.functions.text import domain, plain, term_pattern, word_count
 
 RSS = "title string, link string, description string, `content:encoded` string, pubDate string, guid string"
 
@@ -26,6 +26,19 @@ def active(feeds: DataFrame) -> DataFrame:
     return f.select("feed_id", F.coalesce(F.when(F.trim("outlet") != "", F.trim("outlet")), F.col("feed_url")).alias("name"), "feed_url").orderBy("name", "feed_id")
 
 
+def outlet_patterns(feeds: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """feed_id and `pattern`: what names the feed's outlet, over all feeds of that outlet: its name with and without an article, the domains
+    of its feeds, and its aliases (outlet, term). Outlets are the same if their trimmed names are, in any case; a feed without one has none."""
+    key = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    f = feeds.select("feed_id", F.trim("outlet").alias("name"), key("outlet").alias("k"), domain(F.col("feed_url")).alias("host")).filter("k <> ''")
+    each = f.select("k", F.explode(F.array("name", F.regexp_replace("name", r"(?i)^the\s+", ""), "host")).alias("term"))
+    if aliases is not None:
+        each = each.unionByName(aliases.select(key("outlet").alias("k"), "term").filter("k <> ''"))
+    # a list kept by hand: some names an outlet
+    terms = each.filter("term IS NOT NULL").groupBy("k").agg(term_pattern(F.array_sort(F.collect_set("term"))).alias("pattern"))
+    return f.join(terms, "k", "left").select("feed_id", "pattern")
+
+
 def checked(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(feeds, errors) of registry entries: row, url, outlet, section, score, prior, prior_source.
 

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from pressloom.functions import text
 from pressloom.operators import dedup
+from pressloom.sources import feeds as feeds_
 
 
 def one(spark, value, f):
@@ -14,22 +17,29 @@ def one(spark, value, f):
 def test_plain_and_words(spark):
     assert one(spark, "<p>Don’t</p><p>panic &amp; run</p>", text.plain) == "Don’t panic & run"
     assert one(spark, "<p>Don’t</p><p>panic</p>", text.word_count) == 3
+    assert one(spark, "<td>a</td><td>b</td><br/>c<h2>d</h2>e <b>f</b>g", text.plain) == "ab cd e fg"
+    assert one(spark, "&Eacute;t&#233; &#8364; &#x1F600; &nosuch; &#0; &#1114112; a &lt b & c", text.plain) == "Été € 😀 &nosuch; &#0; &#1114112; a &lt b & c"
+    assert one(spark, "a <!-- <p>no</p> -->b <3 c < d <a href='x'", text.plain) == "a b <3 c < d"
     assert one(spark, "&amp;lt;b&amp;gt;", text.plain) == "&lt;b&gt;"
     assert one(spark, None, text.plain) == "" and one(spark, "", text.word_count) == 0
     assert one(spark, "Été 2026: ÄRZTE", text.words) == ["été", "2026", "ärzte"]
 
 
-@pytest.mark.parametrize(("t", "n", "want"), [("One two three.", 5, "One two three."), ("One two. Three four five.", 4, "One two."), ("One two three, four", 3, "One two three…"), (None, 3, ""), ("“Go.” Then more words", 2, "“Go.”")])
+@pytest.mark.parametrize(("t", "n", "want"), [("One two three.", 5, "One two three."), ("One two. Three four five.", 4, "One two."), ("One two three, four", 3, "One two three…"), (None, 3, ""), ("One. Two three four", 3, "One. Two three…"), (" One\n two ", 2, "One\n two"), ("One two three", 0, "One two three"), ('He said "no." Then left', 4, 'He said "no."')])
 def test_cap_words(spark, t, n, want):
     assert one(spark, t, lambda c: text.cap_words(c, n)) == want
 
 
 def test_redaction(spark):
-    terms = text.outlet_terms("The Daily (North)", "www.daily.example", ["TDN"])
+    terms = text.outlet_terms("The Daily (North)", "https://www.daily.example/rss", ["TDN"])
     assert one(spark, "the daily (north) and DAILY (NORTH) on daily.example, TDN, dailyx", lambda c: text.redact(c, terms)) == "[outlet] and [outlet] on [outlet], [outlet], dailyx"
-    assert one(spark, "ab cd", lambda c: text.redact(c, ["ab"])) == "ab cd"
-    r = spark.createDataFrame([("The Times+ said. Times+ again", "The Times+"), ("x", None), (None, "Times")], "t string, o string").select(text.redact_by(F.col("t"), F.col("o")).alias("x")).collect()
-    assert [x.x for x in r] == ["[outlet] said. [outlet] again", "x", ""]
+    assert one(spark, "ab cd", lambda c: text.redact(c, ["ab"])) == "ab cd" and text.outlet_terms("A", "https://feeds.feedburner.com/a") == ["A", "A"]
+    feeds = spark.createDataFrame([(1, "The Times+", "https://rss.times.example/a"), (2, " the times+", "https://user@x.feedburner.com:80/b"), (3, None, "https://c.example"), (4, "Ab", None)], "feed_id long, outlet string, feed_url string")
+    aliases = spark.createDataFrame([("THE TIMES+", "Old Lady"), (None, "x")], "outlet string, term string")
+    pat = feeds_.outlet_patterns(feeds, aliases)
+    rows = spark.createDataFrame([(1, "The Times+ said. Times+ again, times.example, old lady"), (2, "Times+"), (3, "x c.example"), (4, "Ab"), (1, None), (9, "Times+")], "feed_id long, t string")
+    r = rows.join(pat, "feed_id", "left").select("feed_id", text.redact_by(F.col("t"), F.col("pattern")).alias("x")).collect()
+    assert sorted((x.feed_id, x.x) for x in r) == [(1, ""), (1, "[outlet] said. [outlet] again, [outlet], [outlet]"), (2, "[outlet]"), (3, "x c.example"), (4, "Ab"), (9, "Times+")]
 
 
 def test_byline_terms_initials(spark):
@@ -43,7 +53,7 @@ def test_byline_terms_initials(spark):
     assert text.render("a {x} [y] {z}", {"x": "1", "y": "2"}) == "a 1 2 {z}"
 
 
-@pytest.mark.parametrize(("age", "full", "short"), [(10, "1 min", "1m"), (7300, "2 hour", "2h"), (3 * 86400, "3 day", "3d"), (15 * 86400, "2 wk", "2w"), (70 * 86400, "2 month", "2mo")])
+@pytest.mark.parametrize(("age", "full", "short"), [(10, "1 min", "1 min ago"), (3599, "59 min", "59 min ago"), (3600, "1 hour", "1 h ago"), (7300, "2 hours", "2 h ago"), (3 * 86400, "3 days", "3 d ago"), (15 * 86400, "2 wk", "15 d ago"), (31 * 86400, "1 month", "31 d ago"), (70 * 86400, "2 months", "70 d ago")])
 def test_relative_time(spark, age, full, short):
     r = spark.range(1).select(text.relative_time(F.lit(0), F.lit(age)).alias("a"), text.relative_time(F.lit(0), F.lit(age), True).alias("b")).first()
     assert (r.a, r.b) == (full, short)
@@ -137,9 +147,9 @@ def test_redacted_keeps_items_without_feed(spark, tmp_path):
     from pressloom.plans import catalog
 
     spark.createDataFrame([(1, 7, "The Daily Gull says"), (2, None, "The Daily Gull says"), (3, 9, "none")], "item_id long, feed_id long, body string").write.parquet(f"{tmp_path}/ingestion_engine.parquet")
-    spark.createDataFrame([(7, "Daily Gull"), (None, "says")], "feed_id long, outlet string").write.parquet(f"{tmp_path}/feeds.parquet")
-    got = {r.item_id: r.body for r in catalog.queries()["text_redacted"](spark, str(tmp_path)).collect()}
-    assert got == {1: "The [outlet] says", 2: "The Daily Gull says", 3: "none"}
+    spark.createDataFrame([(7, "Daily Gull", None), (None, "says", "")], "feed_id long, outlet string, feed_url string").write.parquet(f"{tmp_path}/feeds.parquet")
+    got = {r.item_id: r.digest for r in catalog.queries()["text_redacted"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.md5(t.encode()).hexdigest() for i, t in {1: "The [outlet] says", 2: "The Daily Gull says", 3: "none"}.items()}
 
 
 def test_signature_estimates(spark):
