@@ -28,6 +28,11 @@ def confidence(value: Column) -> Column:
     return F.when(d.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), d)))
 
 
+def capped_confidence(value: Column, partial: Column, most: float) -> Column:
+    """The confidence, at most `most` where only part of a text was read."""
+    return F.when((F.coalesce(partial, F.lit(0)) == 1) & (value > most), F.lit(most)).otherwise(value)
+
+
 def to_legacy(score: Column) -> Column:
     return F.when(score < 0, "left").when(score == 0, "center").when(score > 0, "right")
 

@@ -74,7 +74,7 @@ def containment(jaccard: Column, size_a: Column, size_b: Column) -> Column:
 def matches(docs: DataFrame, least_jaccard: tuple[int, int] = (4, 5), least_containment: tuple[int, int] = (17, 20), window: int = 48 * 3600, least_words: int = LEAST_WORDS, least_wired: tuple[int, int] = (1, 2)) -> DataFrame:
     """(id, of, shared, size, size_of): `of` came before `id` (by created, id) within the window and the two are similar enough, either
     by Jaccard or by the share of the smaller one. docs: id, created, words, sh, and wire where known (null for none): for two texts of the
-    same wire both limits are `least_wired`.
+    same wire both limits are `least_wired`. With a column `fresh`, pairs of which neither is fresh are left out.
 
     Exact, by prefixes: two sets of which the smaller, of n shingles, has a share c in the other must share `COMMON` of its
     n - ceil(c n) + COMMON rarest shingles (or all that must be common, where that is less). So the rare ends of all sets are met with all
@@ -85,20 +85,21 @@ def matches(docs: DataFrame, least_jaccard: tuple[int, int] = (4, 5), least_cont
     cn, cd = min(least_jaccard, least_containment, key=lambda f: f[0] / f[1])
     wn, wd = min((cn, cd), least_wired, key=lambda f: f[0] / f[1])
     wire = F.col("wire") if "wire" in docs.columns else F.lit(None).cast("string")
-    d = docs.filter((F.col("words") >= least_words) & (F.size("sh") > 0)).select("id", "created", wire.alias("wire"), F.size("sh").alias("n"), F.explode(F.transform("sh", lambda s: F.xxhash64(s))).alias("s"))
+    fresh = F.col("fresh") if "fresh" in docs.columns else F.lit(True)
+    d = docs.filter((F.col("words") >= least_words) & (F.size("sh") > 0)).select("id", "created", wire.alias("wire"), fresh.alias("fresh"), F.size("sh").alias("n"), F.explode(F.transform("sh", lambda s: F.xxhash64(s))).alias("s"))
     df = d.groupBy("s").agg(F.count("*").alias("f")).filter("f > 1")
-    lists = d.join(df, "s").groupBy("id", "created", "wire", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("x"))
-    lists = settle(lists.select("id", "created", "wire", "n", F.col("x.s").alias("toks")), "postings")
+    lists = d.join(df, "s").groupBy("id", "created", "wire", "fresh", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("x"))
+    lists = settle(lists.select("id", "created", "wire", "fresh", "n", F.col("x.s").alias("toks")), "postings")
     must = lambda n, d: F.floor((n * F.col("n") + d - 1) / d)
     keep = lambda n, d: (F.least(F.col("n"), F.col("n") - must(n, d) + COMMON) - (F.col("n") - F.size("toks"))).cast("int")
     k, wide = keep(cn, cd), keep(wn, wd)
     span = F.floor(F.col("created") / max(1, window))
     rare = lists.withColumn("k", k).withColumn("wide", F.when(F.col("wire").isNotNull(), wide).otherwise(k)).filter("wide > 0")
-    rare = rare.select("id", "created", "wire", "n", "k", F.posexplode(F.slice("toks", 1, F.col("wide"))).alias("at", "s"))
+    rare = rare.select("id", "created", "wire", "fresh", "n", "k", F.posexplode(F.slice("toks", 1, F.col("wide"))).alias("at", "s"))
     # texts no further apart than the window lie in the same span of time or in neighbouring ones
     rare = rare.withColumn("span", F.explode(F.array(span - 1, span, span + 1)))
-    full = lists.select(F.col("id").alias("o"), F.col("created").alias("ot"), F.col("wire").alias("ow"), F.col("n").alias("on"), span.alias("span"), F.explode("toks").alias("s"))
-    near = rare.join(full, ["s", "span"]).filter((F.col("id") != F.col("o")) & (F.abs(F.col("created") - F.col("ot")) <= window) & (F.col("n") <= F.col("on")) & ((F.col("at") < F.col("k")) | (F.col("wire") == F.col("ow"))))
+    full = lists.select(F.col("id").alias("o"), F.col("created").alias("ot"), F.col("wire").alias("ow"), F.col("fresh").alias("ofresh"), F.col("n").alias("on"), span.alias("span"), F.explode("toks").alias("s"))
+    near = rare.join(full, ["s", "span"]).filter((F.col("id") != F.col("o")) & (F.col("fresh") | F.col("ofresh")) & (F.abs(F.col("created") - F.col("ot")) <= window) & (F.col("n") <= F.col("on")) & ((F.col("at") < F.col("k")) | (F.col("wire") == F.col("ow"))))
     met = near.groupBy(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).agg(F.count("*").alias("met"), F.min(F.least(F.lit(COMMON), must(wn, wd))).alias("enough"))
     pair = met.filter("met >= enough").select("a", "b")
     side = lambda c: lists.select(F.col("id").alias(c), F.col("created").alias(f"{c}t"), F.col("wire").alias(f"{c}w"), F.col("n").alias(f"{c}n"), F.col("toks").alias(f"{c}x"))
@@ -138,6 +139,11 @@ def reprint_cards(new: DataFrame, originals: DataFrame) -> DataFrame:
     return j.select("source_id", "title", "outlet", "section", "original_url", "syndicated_from", *[F.col(f"_{c}").alias(c) for c in taken])
 
 
+def wires_of(cards: DataFrame, wanted: DataFrame, key: str, wire: str) -> DataFrame:
+    """key and wire of the wanted cards that name one."""
+    return cards.filter(F.trim(F.coalesce(F.col(wire), F.lit(""))) != "").join(wanted.select(key).distinct(), key, "left_semi").select(key, wire)
+
+
 def first_copied_run(pairs: DataFrame, n: int = 8) -> DataFrame:
     """key, at, run: the first run of n words of a candidate that a source of the same key holds too. pairs: key, candidate, source."""
     def grams(col: str) -> DataFrame:

@@ -118,6 +118,52 @@ def story_card_counts(stories: DataFrame, cards: DataFrame) -> DataFrame:
     return once(stories, "story_id").select("story_id").join(n, "story_id", "left").na.fill(0, ["cards"])
 
 
+def in_top(rows: DataFrame, key: str, score: str, k: int) -> DataFrame:
+    """rows with `top`: whether the row is among the k with the largest score, ties by key. Only k keys are looked up."""
+    best = rows.orderBy(F.desc(score), key).limit(k).select(F.col(key).alias("_k"), F.lit(True).alias("top"))
+    return rows.join(F.broadcast(best), F.col(key) == F.col("_k"), "left").drop("_k").na.fill(False, ["top"])
+
+
+def relevance_rollup(stories: DataFrame, cards: DataFrame) -> DataFrame:
+    """stories with card_count, relevance and topic from their cards.
+
+    Relevant if any card is, or if one may be and two outlets or more have perspectives; else "maybe" if any may be; else irrelevant. The
+    topic is the one most rated cards have, the one of the first card among equals. Stories without rated cards keep what they have.
+    cards: source_id, story_id, relevance, outlet, topic, score, section, syndicated_from.
+    """
+    c = cards.filter("story_id IS NOT NULL")
+    own = F.col("syndicated_from").isNull() & (F.coalesce("section", F.lit("news")) != "opinion") & F.col("score").isNotNull()
+    is_ = lambda x: F.sum((F.coalesce("relevance", F.lit("")) == x).cast("int"))
+    g = c.groupBy("story_id").agg(F.count("*").alias("_n"), F.count("relevance").alias("_rated"), is_("relevant").alias("_yes"), is_("maybe").alias("_may"), F.countDistinct(F.when(own, F.col("outlet"))).alias("_outlets"))
+    t = c.filter("topic IS NOT NULL AND relevance IS NOT NULL").groupBy("story_id", "topic").agg(F.count("*").alias("n"), F.min("source_id").alias("first"))
+    t = t.groupBy("story_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "topic"))["topic"].alias("_topic"))
+    j = stories.join(g, "story_id", "left").join(t, "story_id", "left")
+    rated = F.coalesce("_rated", F.lit(0)) > 0
+    told = F.when((F.col("_yes") > 0) | (F.col("_may") > 0) & (F.col("_outlets") >= 2), "relevant").when(F.col("_may") > 0, "maybe").otherwise("irrelevant")
+    j = j.withColumn("relevance", F.when(rated, told).otherwise(F.col("relevance"))).withColumn("topic", F.when(rated, F.coalesce("_topic", "topic")).otherwise(F.col("topic")))
+    return j.withColumn("card_count", F.coalesce("_n", F.lit(0)).cast("long")).drop("_n", "_rated", "_yes", "_may", "_outlets", "_topic")
+
+
+def context_cost(calls: DataFrame, context: str, start: int) -> DataFrame:
+    """Per operation of one context since a time: attempts, logical calls, failures and tokens."""
+    c = once(calls, "id").filter((F.col("context_type") == context) & (F.col("created") >= start))
+    tokens = [F.sum(F.coalesce(F.col(t).cast("long"), F.lit(0))).alias(t) for t in ("input_tokens", "output_tokens")]
+    return c.groupBy("operation").agg(F.count("*").alias("attempts"), F.countDistinct("call_group").alias("calls"), F.sum(F.when(F.col("success") == 0, 1).otherwise(0)).alias("failures"), *tokens)
+
+
+def click_buckets(clicked: DataFrame, views: DataFrame, cards: DataFrame, since: str) -> DataFrame:
+    """Per outlet and score, from a day on: clicks, impressions (views of the stories of its cards) and click-through in percent.
+
+    clicked: card_id, at; views: story_id, day, views; cards: card_id, story_id, outlet, score.
+    """
+    k = clicked.filter(F.col("at") >= F.lit(since).cast("timestamp")).groupBy("card_id").agg(F.count("*").alias("clicks"))
+    v = views.filter(F.col("day") >= F.lit(since).cast("date")).groupBy("story_id").agg(F.sum("views").alias("views"))
+    # one pass over the cards: what each was clicked and shown, added up
+    each = cards.join(k, "card_id", "left").join(v, "story_id", "left").filter("clicks IS NOT NULL OR views IS NOT NULL")
+    out = each.groupBy("outlet", "score").agg(F.coalesce(F.sum("clicks"), F.lit(0)).alias("clicks"), F.coalesce(F.sum("views"), F.lit(0)).alias("impressions"))
+    return out.withColumn("ctr", F.when(F.col("impressions") > 0, F.floor((2000 * F.col("clicks") + F.col("impressions")) / (2 * F.col("impressions"))) / 10))
+
+
 def content_counts(cards: DataFrame, stories: DataFrame, feeds: DataFrame, since: int | None = None) -> DataFrame:
     """One row per counter."""
     c = once(cards, "source_id")

@@ -84,8 +84,8 @@ def nearest_join(index: DataFrame, queries: DataFrame, k: int = 10, block: int =
     return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def keyword(rows: DataFrame, terms: Sequence[str], columns: Sequence[str] = ("title", "summary"), most: int = 1000) -> DataFrame:
-    """Rows in which every term occurs in one of the columns; none without terms."""
+def keyword(rows: DataFrame, terms: Sequence[str], columns: Sequence[str] = ("title", "summary"), most: int | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Rows in which every term occurs in one of the columns; none without terms. With `most`, the first ones in the order given."""
     if not terms:
         return rows.limit(0)
     for t in terms:
@@ -94,7 +94,28 @@ def keyword(rows: DataFrame, terms: Sequence[str], columns: Sequence[str] = ("ti
             x = F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(t.lower()))
             hit = x if hit is None else hit | x
         rows = rows.filter(hit)
-    return rows.limit(most)
+    if most is None:
+        return rows
+    if not order:
+        raise ValueError("the first rows need an order")
+    return rows.orderBy(*order).limit(most)
+
+
+def rows_of(index: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """All rows of the index that belong to given entities; an entity asked for twice gives its rows once."""
+    return index.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def search_log(found: DataFrame) -> DataFrame:
+    """Per search: results, the similarity of the best one, and whether words found nothing (null without that column).
+    found: query_id, distance[, keyword_hits]."""
+    zero = (F.max("keyword_hits") == 0) if "keyword_hits" in found.columns else F.lit(None).cast("boolean")
+    return found.groupBy("query_id").agg(F.count("*").alias("results"), F.round(1 - F.min("distance"), 4).alias("top_similarity"), zero.alias("keyword_zero"))
+
+
+def recent(stories: DataFrame, now: int, seconds: int = 86400) -> DataFrame:
+    """Stories of the last seconds as candidates without a similarity."""
+    return stories.filter(F.col("created") > now - seconds).withColumn("similarity", F.lit(None).cast("double"))
 
 
 def bm25(docs: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -525,7 +525,7 @@ def _(spark, d):
 @query("search_keyword", f"SELECT story_id FROM {STORIES} WHERE (contains(lower(coalesce(title, '')), 'grain') OR contains(lower(coalesce(neutral_summary, '')), 'grain')) AND (contains(lower(coalesce(title, '')), 'quota') OR contains(lower(coalesce(neutral_summary, '')), 'quota'))")
 def _(spark, d):
     s = views.once(table(spark, d, "stories"), "story_id").withColumn("summary", F.col("neutral_summary"))
-    return retrieval.keyword(s, ["grain", "quota"], most=1_000_000_000).select("story_id")
+    return retrieval.keyword(s, ["grain", "quota"]).select("story_id")
 
 
 BM = f"""w AS (SELECT doc_id AS id, {WORDS.format("text")} AS w FROM documents), d AS (SELECT id, len(w) AS len, len(list_filter(w, lambda x: x = 'budget')) AS t0, len(list_filter(w, lambda x: x = 'dispute')) AS t1 FROM w),
@@ -653,7 +653,7 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 @query("stream_views", "SELECT user_id, strftime(ts, '%Y%m%d')::INT AS day, count(*) AS views FROM events WHERE event_type = 'view' GROUP BY 1, 2")
 def _(spark, d):
     s = flows.read_files(spark, d, "events.parquet", EVENTS).withColumn("ts", F.col("ts").cast("timestamp"))
-    return flows.run_to_end(flows.view_counter(s), "complete")
+    return flows.run_updates(flows.view_counter(s), ["user_id", "day"])
 
 
 @query("stream_first_links", "SELECT DISTINCT link FROM ingestion_engine WHERE link IS NOT NULL")
@@ -664,8 +664,11 @@ def _(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from pressloom.plans import wider  # noqa: F401 - puts more queries here
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)

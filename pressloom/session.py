@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,16 +62,40 @@ def settle(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Remove every table that settle() wrote so far; call it only once their readers are done."""
-    while _made:
+def mine(spark: SparkSession, path: str) -> None:
+    """Marks a folder to be removed with the tables of settle()."""
+    _made.append((spark, path))
+
+
+def _on(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _on(spark, path)
+    return fs.exists(p)
+
+
+def release(since: int = 0) -> None:
+    """Remove the tables that settle() wrote, those after the first `since`; call it only once their readers are done."""
+    while len(_made) > since:
         spark, path = _made.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = _on(spark, path)
+            fs.delete(p, True)
         except Exception:  # noqa: BLE001 - the session may be gone already
             pass
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables settled inside are removed at the end: for one query or micro-batch whose result is written inside."""
+    since = len(_made)
+    try:
+        yield
+    finally:
+        release(since)
+
+
 atexit.register(release)

@@ -39,6 +39,15 @@ def outlet_patterns(feeds: DataFrame, aliases: DataFrame | None = None) -> DataF
     return f.join(terms, "k", "left").select("feed_id", "pattern")
 
 
+def by_host(items: DataFrame, link: str, feeds: DataFrame, feed_url: str) -> DataFrame:
+    """items with _feed_id, a row for each feed whose domain is the item's host or a parent of it.
+
+    The join is one of equal domains: a host has the domain of its last two labels only.
+    """
+    f = feeds.select(F.col("feed_id").alias("_feed_id"), domain(F.col(feed_url)).alias("_domain")).filter("_domain <> ''")
+    return items.withColumn("_host", domain(F.col(link))).join(f, F.col("_host") == F.col("_domain")).drop("_host", "_domain")
+
+
 def checked(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(feeds, errors) of registry entries: row, url, outlet, section, score, prior, prior_source.
 

@@ -16,6 +16,8 @@ from pressloom.functions import text as text_
 from pressloom.operators import dedup
 from pressloom.session import settle
 
+#: How far apart a copy and its original may lie, in seconds (fixed value).
+WINDOW = 48 * 3600
 #: Judges articles: takes id, title, text, candidates and returns id, score, confidence, topic, story_id (null for a new story).
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -54,9 +56,14 @@ def originals(batch: DataFrame, seen: DataFrame, cards: DataFrame, wires: Sequen
     """id, of: for each article that copies an earlier one, the card all goes back to: the earliest by (created, id) of those that its
     matches, and theirs, lead to and that copy none themselves. batch, seen: id, created, text; cards: the known cards; wires:
     literals of bylines and the wires they name."""
-    both = batch.select("id", "created", "text").unionByName(seen.select("id", "created", "text"))
-    sh = dedup.shingled(both, "id", F.col("text")).join(both.select("id", "created", text_.byline(text_.plain(F.col("text")), wires).alias("wire")), "id")
-    found = dedup.matches(sh).select("id", "of").join(batch.select("id"), "id", "left_semi")
+    lo, hi = batch.agg(F.min("created"), F.max("created")).first()
+    if lo is None:
+        return batch.select("id", F.col("id").alias("of")).limit(0)
+    # of what was seen before only the texts within the window of the batch can match, and only with texts of the batch
+    old = seen.filter(F.col("created").between(lo - WINDOW, hi + WINDOW)).select("id", "created", "text", F.lit(False).alias("fresh"))
+    both = batch.select("id", "created", "text", F.lit(True).alias("fresh")).unionByName(old)
+    sh = dedup.shingled(both, "id", F.col("text")).join(both.select("id", "created", "fresh", text_.byline(text_.plain(F.col("text")), wires).alias("wire")), "id")
+    found = dedup.matches(sh, window=WINDOW).select("id", "of").join(batch.select("id"), "id", "left_semi")
     known = cards.select(F.col("source_id").alias("id"), "created").dropDuplicates(["id"])
     if "syndicated_from" in cards.columns:
         link = cards.dropDuplicates(["source_id"]).select(F.col("source_id").alias("id"), F.col("syndicated_from").alias("of")).filter("id <> of")
