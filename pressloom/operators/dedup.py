@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ HASHES, PRIME = 128, (1 << 31) - 1
 LEAST_WORDS = 80
 #: Shingles that the rare end of one set must share with the other set before both are compared; the result doesn't depend on it.
 COMMON = 4
+#: Windows in a span of time, by which texts are parted; a text meets the next span too where its window reaches there.
+SPAN = 8
 
 
 def coefficients(n: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
@@ -30,11 +32,11 @@ def hash32(shingle: Column) -> Column:
     return F.conv(F.substring(F.md5(shingle), 1, 8), 16, 10).cast("long")
 
 
-def shingled(df: DataFrame, id_col: str, text: Column, k: int = 5) -> DataFrame:
-    """id, words (their number), sh (distinct shingles)."""
+def shingled(df: DataFrame, id_col: str, text: Column, k: int = 5, keep: Sequence[str] = ()) -> DataFrame:
+    """id, the columns of keep, words (their number), sh (distinct shingles)."""
     # the one-row explode keeps the word list a column, so it isn't split again for every shingle
-    w = df.select(F.col(id_col).alias("id"), F.explode(F.array(words(text))).alias("w"))
-    return w.select("id", F.size("w").alias("words"), shingles(F.col("w"), k).alias("sh"))
+    w = df.select(F.col(id_col).alias("id"), *keep, F.explode(F.array(words(text))).alias("w"))
+    return w.select("id", *keep, F.size("w").alias("words"), shingles(F.col("w"), k).alias("sh"))
 
 
 def signatures(sh: DataFrame, n: int = HASHES) -> DataFrame:
@@ -93,12 +95,13 @@ def matches(docs: DataFrame, least_jaccard: tuple[int, int] = (4, 5), least_cont
     must = lambda n, d: F.floor((n * F.col("n") + d - 1) / d)
     keep = lambda n, d: (F.least(F.col("n"), F.col("n") - must(n, d) + COMMON) - (F.col("n") - F.size("toks"))).cast("int")
     k, wide = keep(cn, cd), keep(wn, wd)
-    span = F.floor(F.col("created") / max(1, window))
+    length = SPAN * max(1, window)
+    span = lambda at: F.floor(at / length)
     rare = lists.withColumn("k", k).withColumn("wide", F.when(F.col("wire").isNotNull(), wide).otherwise(k)).filter("wide > 0")
     rare = rare.select("id", "created", "wire", "fresh", "n", "k", F.posexplode(F.slice("toks", 1, F.col("wide"))).alias("at", "s"))
-    # texts no further apart than the window lie in the same span of time or in neighbouring ones
-    rare = rare.withColumn("span", F.explode(F.array(span - 1, span, span + 1)))
-    full = lists.select(F.col("id").alias("o"), F.col("created").alias("ot"), F.col("wire").alias("ow"), F.col("fresh").alias("ofresh"), F.col("n").alias("on"), span.alias("span"), F.explode("toks").alias("s"))
+    # texts no further apart than the window lie in the same span of time or in neighbouring ones, which few texts reach
+    rare = rare.withColumn("span", F.explode(F.array_distinct(F.array(span(F.col("created") - window), span(F.col("created") + window)))))
+    full = lists.select(F.col("id").alias("o"), F.col("created").alias("ot"), F.col("wire").alias("ow"), F.col("fresh").alias("ofresh"), F.col("n").alias("on"), span(F.col("created")).alias("span"), F.explode("toks").alias("s"))
     near = rare.join(full, ["s", "span"]).filter((F.col("id") != F.col("o")) & (F.col("fresh") | F.col("ofresh")) & (F.abs(F.col("created") - F.col("ot")) <= window) & (F.col("n") <= F.col("on")) & ((F.col("at") < F.col("k")) | (F.col("wire") == F.col("ow"))))
     met = near.groupBy(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).agg(F.count("*").alias("met"), F.min(F.least(F.lit(COMMON), must(wn, wd))).alias("enough"))
     pair = met.filter("met >= enough").select("a", "b")

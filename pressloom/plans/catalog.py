@@ -435,8 +435,8 @@ def _(spark, d):
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     g = views.once(table(spark, d, "classify_cluster"), "id")
     c = views.once(table(spark, d, "cards"), "source_id").select(F.col("source_id").alias("id"), "created")
-    w = g.select("id", text.byline(text.plain(F.col("body_excerpt")), WIRES).alias("wire"))
-    return dedup.shingled(g, "id", F.concat_ws(" ", "title", "body_excerpt")).join(c, "id").join(w, "id")
+    t = g.join(c, "id").withColumn("wire", text.byline(text.plain(F.col("body_excerpt")), WIRES))
+    return dedup.shingled(t, "id", F.concat_ws(" ", "title", "body_excerpt"), keep=("created", "wire"))
 
 
 @query("dedup_signatures", f"WITH s AS (SELECT id, list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) AS sh FROM (SELECT id, {words_sql('body_excerpt')} AS w FROM (SELECT DISTINCT id, body_excerpt FROM classify_cluster))), e AS (SELECT id, unnest(sh) AS g FROM s), h AS (SELECT id, ('0x' || substr(md5(g), 1, 8))::UBIGINT AS x FROM e), m AS (SELECT id, k, min((x * (((k + 1) * 1103515245 + 12345) % 2147483647)::UBIGINT + (((k + 1) * 69069 + 1) % 2147483647)::UBIGINT) % 2147483647) AS v FROM h, range(128) r(k) GROUP BY 1, 2) SELECT id, string_agg(v::VARCHAR, ',' ORDER BY k) AS signature FROM m GROUP BY 1")

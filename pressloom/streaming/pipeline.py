@@ -62,7 +62,8 @@ def originals(batch: DataFrame, seen: DataFrame, cards: DataFrame, wires: Sequen
     # of what was seen before only the texts within the window of the batch can match, and only with texts of the batch
     old = seen.filter(F.col("created").between(lo - WINDOW, hi + WINDOW)).select("id", "created", "text", F.lit(False).alias("fresh"))
     both = batch.select("id", "created", "text", F.lit(True).alias("fresh")).unionByName(old)
-    sh = dedup.shingled(both, "id", F.col("text")).join(both.select("id", "created", "fresh", text_.byline(text_.plain(F.col("text")), wires).alias("wire")), "id")
+    both = both.withColumn("wire", text_.byline(text_.plain(F.col("text")), wires))
+    sh = dedup.shingled(both, "id", F.col("text"), keep=("created", "fresh", "wire"))
     found = dedup.matches(sh, window=WINDOW).select("id", "of").join(batch.select("id"), "id", "left_semi")
     known = cards.select(F.col("source_id").alias("id"), "created").dropDuplicates(["id"])
     if "syndicated_from" in cards.columns:
