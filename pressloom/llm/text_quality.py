@@ -2,8 +2,9 @@
 
 Each non-blank line gets counts (letters, digits, signs, words, common words, separators, repeated words and lines, how it begins and ends,
 how it continues its neighbours), which become classes of values. States are prose, list, table and junk. The emission of a state is the
-posterior of a softmax regression over these classes, divided by the state's share in training; transitions are counted. The best path of
-states labels the lines, and the share of a document's characters in each state tells prose from the rest.
+posterior of a softmax regression over these classes, divided by the state's share in training; transitions are fitted by expectation and
+maximization over the labelled documents, kinds counting alike; a text may begin in any state, so that a text of one line is judged by
+that line. The best path of states labels the lines, and the share of a document's characters in each state tells prose from the rest.
 
 The model is fitted on a bounded sample of hand-labelled documents, as many of each kind, and a few lines written or made by rule here.
 A document's label is one for the whole text, and some are wrong: in rounds, lines are relabelled by the model, where a document's own
@@ -44,11 +45,14 @@ SHARES = (0.0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 0.95)
 
 @dataclass(frozen=True)
 class Spec:
-    """per_kind: most labelled documents of each kind to learn from."""
+    """per_kind: most labelled documents of each kind to learn from; turns: rounds of expectation and maximization; pseudo: times each
+    transition counts as seen beforehand."""
 
     per_kind: int = 250
     rounds: int = 2
     steps: int = 100
+    turns: int = 5
+    pseudo: float = 60.0
     seed: int = 3
 
 
@@ -257,6 +261,34 @@ def viterbi(doc: np.ndarray, e: np.ndarray, m: Model) -> np.ndarray:
     return out
 
 
+def expected(doc: np.ndarray, e: np.ndarray, weight: np.ndarray, m: Model) -> np.ndarray:
+    """How often each state is expected to follow each, by the forward-backward recursion over all documents at once. e: log-likelihood of the lines in each state; weight: how much a line's document counts."""
+    n = len(doc)
+    moves = np.zeros((4, 4))
+    if not n:
+        return moves
+    head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    size = np.diff(np.r_[head, n])
+    order = np.argsort(-size, kind="stable")
+    head, size = head[order], size[order]
+    live = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")
+    like, step = np.exp(e - e.max(1, keepdims=True)), np.exp(m.step)
+    ahead, scale = np.zeros((n, 4)), np.ones(n)
+    for t in range(size[0]):
+        at = head[: live[t]] + t
+        x = (np.exp(m.begin) if t == 0 else ahead[at - 1] @ step) * like[at]
+        scale[at] = x.sum(1)
+        ahead[at] = x / scale[at][:, None]
+    after = np.ones((len(head), 4))
+    for t in range(size[0] - 1, -1, -1):
+        at = head[: live[t]] + t
+        if t:
+            come = like[at] * after[: live[t]] / scale[at][:, None]
+            moves += step * ((ahead[at - 1] * weight[at][:, None]).T @ come)
+            after[: live[t]] = come @ step.T
+    return moves
+
+
 def fit_weights(f: np.ndarray, y: np.ndarray, steps: int) -> np.ndarray:
     """Softmax regression by full-batch Adagrad; states weigh alike."""
     w = np.zeros((WIDTH, 4))
@@ -323,7 +355,7 @@ def learn(labelled: Sequence[tuple[str, str]], spec: Spec) -> Model:
     kind = np.array([k for _, k, _ in docs])[doc]
     sure = np.array([x for _, _, x in docs])[doc]
     y = kind.copy()
-    m = Model(np.zeros((WIDTH, 4), np.float32), np.zeros((4, 4)), np.zeros(4))
+    m = Model(np.zeros((WIDTH, 4), np.float32), np.full((4, 4), np.log(0.25)), np.full(4, np.log(0.25)))
     # a document of another kind mostly has some prose; one called prose is seldom something else
     prior = np.full((4, 4), -4.0)
     np.fill_diagonal(prior, 0.0)
@@ -339,11 +371,15 @@ def learn(labelled: Sequence[tuple[str, str]], spec: Spec) -> Model:
         # each line by itself: along the path, a line of prose above a table would be drawn into it round by round
         y = (emission(m, f) + prior[kind]).argmax(1)
         y[known] = kind[known]
-        same = doc[1:] == doc[:-1]
-        c = np.full((4, 4), 1.0)
-        np.add.at(c, (y[:-1][same], y[1:][same]), 1.0)
-        m.step = np.log(c / c.sum(1, keepdims=True))
-        m.step = np.maximum(m.step, np.log(0.03))
+    # transitions by expectation and maximization over the labelled documents, each held to what its label allows
+    allowed = emission(m, f) + prior[kind]
+    allowed[known] = np.where(np.eye(4, dtype=bool)[kind[known]], 0.0, -30.0)
+    # kinds count alike, as in the weights
+    kinds = np.array([k for _, k, _ in docs])
+    alike = (len(docs) / 4 / np.maximum(1, np.bincount(kinds, minlength=4)))[kind]
+    for _ in range(spec.turns):
+        moves = expected(doc, allowed, alike, m) + spec.pseudo
+        m.step = np.log(moves / moves.sum(1, keepdims=True))
     return m
 
 
