@@ -256,6 +256,11 @@ def partial_share(cards: DataFrame) -> DataFrame:
     return c.agg(F.count("*").alias("classified"), F.sum(F.when(F.col("partial_text") == 1, 1).otherwise(0)).alias("partial")).withColumn("percent", F.when(F.col("classified") > 0, F.floor((200 * F.col("partial") + F.col("classified")) / (2 * F.col("classified"))).cast("long")))
 
 
+def corrections(entries: DataFrame, status: str | None = "pending") -> DataFrame:
+    """Entries of one status, or of all with None, the newest first. entries: id, status, created."""
+    return (entries if status is None else entries.filter(F.col("status") == status)).orderBy(F.desc("created"), F.desc("id"))
+
+
 def credits(entries: DataFrame, most: int = 100) -> DataFrame:
     """Distinct names of accepted entries, the latest decision first. entries: name, status, decided."""
     return entries.filter("status = 'accepted' AND trim(coalesce(name, '')) <> ''").groupBy(F.trim("name").alias("name")).agg(F.max("decided").alias("decided")).orderBy(F.desc("decided"), "name").limit(most)

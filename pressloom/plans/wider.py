@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pressloom.functions import scores
 from pressloom.functions import spectrum as sp
 from pressloom.operators import dedup, evals, reports, retrieval, views
-from pressloom.plans.catalog import CARDS, COS, EVENTS, FEEDS, PAIRS, STORIES, TODAY, _pairs, asked, query
+from pressloom.plans.catalog import CARDS, COS, EVENTS, FEEDS, PAIRS, STORIES, TODAY, _pairs, asked, query, words_sql
 from pressloom.session import table
 from pressloom.sources import feeds as feeds_
+from pressloom.sources import pages
 from pressloom.streaming import flows, pipeline
 
 # The language
@@ -72,6 +73,13 @@ def _(spark, d):
     return feeds_.by_host(i, "link", f, "feed_url").groupBy("item_id").agg(F.min("_feed_id").alias("feed_id"))
 
 
+@query("feed_extracted", f"SELECT item_id, CASE WHEN p >= 80 THEN 'page' WHEN f >= 80 THEN 'feed_body' ELSE 'abstract' END AS method, CASE WHEN p >= 80 OR f >= 80 THEN 0 ELSE 1 END AS is_partial, CASE WHEN p >= 80 THEN '' WHEN skip THEN 'feed is partial' WHEN NOT has THEN 'no article found' WHEN f >= 80 THEN '' ELSE 'page has ' || p || ' words' END AS note FROM (SELECT item_id, skip, has, CASE WHEN skip THEN 0 ELSE p END AS p, f FROM (SELECT i.item_id, coalesce(fd.partial_text, 0) = 1 AS skip, i.method IN ('page', 'legacy') AND coalesce(i.body, '') <> '' AS has, CASE WHEN i.method IN ('page', 'legacy') THEN len({words_sql('i.body')}) ELSE 0 END AS p, CASE WHEN i.method = 'feed_body' THEN len({words_sql('i.body')}) ELSE 0 END AS f FROM (SELECT DISTINCT * FROM ingestion_engine) i LEFT JOIN {FEEDS} fd USING (feed_id)))")
+def _(spark, d):
+    i = views.once(table(spark, d, "ingestion_engine"), "item_id").join(views.once(table(spark, d, "feeds"), "feed_id").select("feed_id", F.col("partial_text").alias("_p")), "feed_id", "left")
+    items = i.select("item_id", F.when(F.col("method").isin("page", "legacy"), F.col("body")).alias("page"), F.when(F.col("method") == "feed_body", F.col("body")).alias("feed"), "abstract", (F.coalesce("_p", F.lit(0)) == 1).alias("skip_page"), F.lit(True).alias("allow"), F.lit(None).cast("string").alias("error"))
+    return pages.extracted(items).select("item_id", "method", "is_partial", "note")
+
+
 @query("report_top_members", f"SELECT story_id, (story_id IN (SELECT story_id FROM (SELECT s.story_id, count(c.source_id) AS n FROM {STORIES} s LEFT JOIN {CARDS} c USING (story_id) GROUP BY 1) ORDER BY n DESC, story_id LIMIT 20)) AS top FROM {STORIES}")
 def _(spark, d):
     n = reports.story_card_counts(table(spark, d, "stories"), table(spark, d, "cards"))

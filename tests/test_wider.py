@@ -10,6 +10,7 @@ from pressloom.operators import dedup, evals, reports, retrieval
 from pressloom.plans import catalog, wider
 from pressloom.session import exists, scratch, settle
 from pressloom.sources import feeds as feeds_
+from pressloom.sources import pages
 from pressloom.streaming import flows
 
 
@@ -107,3 +108,44 @@ def test_settled_tables_go_with_their_scope(spark):
         assert t.count() == 3
         path = t.inputFiles()[0].rsplit("/", 1)[0]
     assert not exists(spark, path)
+
+
+PAGE = """<html><head><title>Site - x</title><script>var a = "<p>No</p>";</script></head><body><nav><ul><li>Home and all the other sections</li></ul></nav>
+<h1>Council <b>votes</b></h1><!-- <p>Not this one, it is a comment.</p> --><p>The council approved the plan on Monday &amp; went home.</p><h2>What next</h2>
+<P class='x'>Nothing.</P><p><a href="/a">Read also: a long headline of another article</a></p><p>Short</p><ul><li>A list item of more than twenty-five signs</li></ul><h3>Related</h3>
+<footer><p>All rights reserved, whatever that may mean here.</p></footer></body></html>"""
+
+
+def test_article_of_page(spark, tmp_path):
+    (tmp_path / "a.html").write_text(PAGE)
+    (tmp_path / "b.html").write_text("")
+    (tmp_path / "c.txt").write_text("no page")
+    df = pages.read_pages(spark, str(tmp_path))
+    got = {r.path[-6:]: (r.t, r.a) for r in df.select("path", pages.title_of(F.col("html")).alias("t"), pages.article_of(F.col("html")).alias("a")).collect()}
+    assert got["a.html"] == ("Council votes", "The council approved the plan on Monday & went home.\nWhat next\nNothing.\nA list item of more than twenty-five signs")
+    assert set(got.values()) <= {got["a.html"], ("", "")}
+    none = spark.createDataFrame([(None,)], "html string").select(pages.title_of(F.col("html")).alias("t"), pages.article_of(F.col("html")).alias("a")).first()
+    assert (none.t, none.a) == ("", "")
+
+
+def test_robots_answers(spark):
+    f = spark.createDataFrame([("a", 200, 0), ("b", 404, 0), ("c", 503, 0), ("d", None, 0), ("e", None, -9000), ("f", 500, 0), ("f", 200, 5), ("g", 200, -90000)], "host string, status int, fetched_at long")
+    a = pages.robots_answers(f, 100)
+    assert {r.host: r.says for r in a.collect()} == {"a": "rules", "b": "all", "c": "none", "d": "none", "e": "ask", "f": "rules", "g": "ask"}
+    p = spark.createDataFrame([(h, "/x") for h in "abcdez"] + [("a", "/no")], "host string, path string")
+    rules = spark.createDataFrame([("a", "/no", False), ("a", "/x", True)], "host string, path string, allow boolean")
+    assert {(r.host, r.path): r.allow for r in pages.may_fetch(p, a, rules).collect()} == {("a", "/x"): True, ("a", "/no"): False, ("b", "/x"): True, ("c", "/x"): False, ("d", "/x"): False, ("e", "/x"): None, ("z", "/x"): None}
+
+
+def test_extraction_falls_back(spark):
+    long, short = "word " * 9, "word"
+    rows = [(1, long, None, "a", False, True, None), (2, short, long, "a", False, True, None), (3, long, long, "a", True, True, None), (4, long, short, "a", False, False, None), (5, None, None, None, False, None, "timeout"), (6, "", short, "a", None, True, None), (7, short, short, "a", False, True, None)]
+    df = spark.createDataFrame(rows, "id int, page string, feed string, abstract string, skip_page boolean, allow boolean, error string")
+    got = {r.id: (r.method, r.is_partial, r.note) for r in pages.extracted(df, 5).collect()}
+    assert got == {1: ("page", 0, ""), 2: ("feed_body", 0, ""), 3: ("feed_body", 0, "feed is partial"), 4: ("abstract", 1, "barred by robots"), 5: ("abstract", 1, "fetch failed: timeout"), 6: ("abstract", 1, "no article found"), 7: ("abstract", 1, "page has 1 words")}
+    assert {r.method for r in pages.extracted(df, 0).collect()} == {"legacy"}
+
+
+def test_corrections(spark):
+    e = spark.createDataFrame([(1, "pending", 5), (2, "accepted", 6), (3, "pending", 5), (4, None, None)], "id int, status string, created int")
+    assert [r.id for r in reports.corrections(e).collect()] == [3, 1] and [r.id for r in reports.corrections(e, None).collect()] == [2, 3, 1, 4]
