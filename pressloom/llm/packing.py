@@ -31,7 +31,7 @@ from pressloom.llm.sizes import running
 class Spec:
     """rounds: steps of the fit."""
 
-    rounds: int = 150
+    rounds: int = 300
     salts: int = 64
 
 
