@@ -432,8 +432,9 @@ def _(spark, d):
 # Reprints
 
 
-def _texts(spark: SparkSession, d: str) -> DataFrame:
+def _texts(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
     g = views.once(table(spark, d, "classify_cluster"), "id")
+    g = g if only is None else g.join(only, "id", "left_semi")
     c = views.once(table(spark, d, "cards"), "source_id").select(F.col("source_id").alias("id"), "created")
     t = g.join(c, "id").withColumn("wire", text.byline(text.plain(F.col("body_excerpt")), WIRES))
     return dedup.shingled(t, "id", F.concat_ws(" ", "title", "body_excerpt"), keep=("created", "wire"))
@@ -468,9 +469,9 @@ ESTIMATE = f"""{MATCH.rsplit("SELECT id, o AS of", 1)[0].rstrip()},
 
 @query("dedup_estimates", ESTIMATE)
 def _(spark, d):
-    t = settle(_texts(spark, d), "texts")
-    sig = dedup.signatures(t.select("id", "sh"))
-    m = dedup.matches(t)
+    m = settle(dedup.matches(_texts(spark, d)), "matches")
+    # only texts with a match need a signature; shingling them again is cheaper than keeping all shingles
+    sig = dedup.signatures(_texts(spark, d, m.select("id").union(m.select("of")).distinct()).select("id", "sh"))
     j = m.join(sig.select("id", F.col("sig").alias("sa")), "id").join(sig.select(F.col("id").alias("of"), F.col("sig").alias("sb")), "of")
     j = j.withColumn("jaccard", dedup.estimate(F.col("sa"), F.col("sb")))
     return j.select("id", "of", "shared", "jaccard", dedup.containment(F.col("jaccard"), F.col("size"), F.col("size_of")).alias("containment"))
