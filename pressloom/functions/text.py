@@ -31,8 +31,11 @@ def _named() -> Column:
     return F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in sorted(html.entities.html5.items()) if k.endswith(";")})), "map<string,string>")
 
 
-def decode_entities(text: Column) -> Column:
-    """Named and numeric entities, each once: what a decoded one makes with its neighbours stays. Unknown and impossible ones stay too."""
+def decode_entities(text: Column, raw: Column | None = None) -> Column:
+    """Named and numeric entities, each once: what a decoded one makes with its neighbours stays. Unknown and impossible ones stay too.
+
+    raw: where text is an expression, a column without an ampersand where text has none, so that the expression isn't run to see that.
+    """
 
     def one(e: Column) -> Column:
         body = F.substring(e, 2, 40)
@@ -44,14 +47,15 @@ def decode_entities(text: Column) -> Column:
 
     said, parts = F.regexp_extract_all(text, F.lit(ENTITY), 0), F.split(text, ENTITY, -1)
     both = F.zip_with(parts, said, lambda p, e: F.concat(p, F.coalesce(one(e), e, F.lit(""))))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(both, "")).otherwise(text)
+    some = text if raw is None else raw
+    return F.when(F.contains(some, F.lit("&")), F.array_join(both, "")).otherwise(text)
 
 
 def plain(text: Column) -> Column:
     """Line breaks and the ends of paragraphs, divisions, list items and headings become spaces, all other tags go without a trace, entities
     are decoded, white space is folded."""
     t = F.regexp_replace(F.regexp_replace(_s(text), PARTING, " "), MARKUP, "")
-    return F.trim(F.regexp_replace(decode_entities(t), SPACE, " "))
+    return F.trim(F.regexp_replace(decode_entities(t, _s(text)), SPACE, " "))
 
 
 def words_of_plain(text: Column) -> Column:
