@@ -49,8 +49,8 @@ GATED = [
     ("", "empty"), ("SELECT day FROM ask_daily WHERE day = '" + "9" * 4000 + "'", "too_long"), ("SELECT day FROM ask_daily WHERE stories ≠ 1", "non_ascii"), ("SELECT day -- all\nFROM ask_daily", "comment"),
     ('SELECT "day" FROM ask_daily', "double_quote"), ("SELECT `stories` FROM ask_daily", "backtick"), ("SELECT [day] FROM ask_daily", "brace"), ("SELECT @n FROM ask_daily", "variable"), ("SELECT day FROM ask_daily WHERE day = ?", "placeholder"),
     ("SELECT \\N FROM ask_daily", "backslash"), ("SELECT stories ^ 2 FROM ask_daily", "bad_char"), ("SELECT day FROM ask_daily WHERE 'x", "unterminated_string"), ("SELECT (day FROM ask_daily", "unbalanced_parens"), ("SELECT day FROM ask_daily; SELECT 1", "multiple_statements"),
-    ("DELETE FROM ask_daily", "not_select"), ("WITH x SELECT 1", "not_select"), ("SELECT day FROM ask_daily FOR UPDATE", "denied_keyword"), ("SELECT UUID() FROM ask_daily", "function_not_allowed"), ("SELECT nid FROM node", "table_not_allowed"),
-    ("SELECT day FROM ask_daily, users", "table_not_allowed"), ("WITH ask_daily AS (SELECT 1 AS n) SELECT n FROM ask_daily", "cte_shadows_view"), ("SELECT other.day FROM ask_daily", "qualified_name"), ("SELECT nid FROM ask_daily", "unknown_identifier"),
+    ("DELETE FROM ask_daily", "not_select"), ("WITH x SELECT 1", "not_select"), ("SELECT day FROM ask_daily FOR UPDATE", "denied_keyword"), ("SELECT RAND() FROM ask_daily", "function_not_allowed"), ("SELECT source_id FROM cards", "table_not_allowed"),
+    ("SELECT day FROM ask_daily, feeds", "table_not_allowed"), ("WITH ask_daily AS (SELECT 1 AS n) SELECT n FROM ask_daily", "cte_shadows_view"), ("SELECT other.day FROM ask_daily", "qualified_name"), ("SELECT body FROM ask_daily", "unknown_identifier"),
     ("SELECT day FROM ask_daily LIMIT 9999", "limit_too_high"), ("SELECT day FROM ask_daily LIMIT 1 + 1", "limit_invalid"),
     ("SELECT day FROM ask_daily", ""), ("SELECT d.day AS x FROM ask_daily AS d JOIN ask_sources s ON s.day = d.day LIMIT 5", ""), ("WITH t (a) AS (SELECT day FROM ask_daily) SELECT a FROM t", ""), ("SELECT EXTRACT(YEAR FROM day) AS y FROM (SELECT day FROM ask_daily) q", ""),
 ]
